@@ -242,7 +242,13 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "te
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: counts of base kinds, the digest of base spans, and all spans."""
     found = find(docs.select("doc_id", "text")).drop("text")
-    written = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    base = F.filter("secrets", lambda s: s.base)
-    counts = [F.size(F.filter("secrets", lambda s, k=r.kind: s.kind == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+
+    def written(a):
+        return F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["base"])
+    counts = [count(r.kind) for r in BASE]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
