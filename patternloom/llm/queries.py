@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ._shared import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    out = report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply
 
@@ -49,6 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
