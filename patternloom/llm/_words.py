@@ -94,6 +94,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    #: with ``heads``: a column for each length, the hash of the word's first bytes (0: shorter)
+    heads: np.ndarray | None = None
 
     @property
     def rows(self) -> int:
@@ -115,31 +117,36 @@ def _edges(seg: np.ndarray, inner: np.ndarray, table: np.ndarray) -> tuple[np.nd
     return np.flatnonzero(s), np.flatnonzero(e) + 1
 
 
-def _hash_piece(seg: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    """Of each word: sum of (byte + 1) * base^place, moved to one place for all words and mixed."""
+def _hash_piece(seg: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray, heads: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: sum of (byte + 1) * base^place, moved to one place for all words and mixed; and of its heads."""
     h_len = 2 * BLOCK
     if not len(s):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros((0, len(heads)), np.uint64)
     p = _pow(h_len + 1)
     with np.errstate(over="ignore"):
         c = np.empty(len(seg) + 1, np.uint64)
         c[0] = 0
         np.cumsum((fold[seg].astype(np.uint64) + np.uint64(1)) * p[: len(seg)], out=c[1:])
-        return mix((c[e] - c[s]) * p[h_len - s] + (e - s).astype(np.uint64))
+        place = p[h_len - s]
+        out = np.zeros((len(s), len(heads)), np.uint64)
+        for k, n in enumerate(heads):
+            ok = e - s >= n
+            out[ok, k] = mix((c[s[ok] + n] - c[s[ok]]) * place[ok] + np.uint64(n), 1)
+        return mix((c[e] - c[s]) * place + (e - s).astype(np.uint64)), out
 
 
-def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray = NOT_SPACE, lower: bool = False, hashed: bool = True) -> Words:
+def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray = NOT_SPACE, lower: bool = False, hashed: bool = True, heads: tuple = ()) -> Words:
     """Words (maximal runs of bytes in ``table``) of the rows lo..hi."""
     fold = LOWER if lower else _SAME
     base, stop = int(offs[lo]), int(offs[hi])
     if stop - base <= 2 * BLOCK:
         seg = data[base:stop]
         s, e = _edges(seg, offs[lo : hi + 1] - base, table)
-        h = _hash_piece(seg, s, e, fold) if hashed else np.zeros(0, np.uint64)
+        h, first = _hash_piece(seg, s, e, fold, heads) if hashed else (np.zeros(0, np.uint64), None)
         row = np.searchsorted(offs[lo : hi + 1] - base, s, side="right") - 1
-        return Words(lo, hi, row, s + base, e + base, h)
+        return Words(lo, hi, row, s + base, e + base, h, first)
     assert hi == lo + 1
-    ss, ee, hh, pos = [], [], [], base
+    ss, ee, hh, ff, pos = [], [], [], [], base
     none = np.zeros(0, np.int64)
     while pos < stop:
         end = min(pos + BLOCK, stop)
@@ -158,6 +165,7 @@ def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray
                     for k in range(pos, end, BLOCK):
                         d.update(fold[data[k : min(k + BLOCK, end)]].tobytes())
                     hh.append(np.frombuffer(d.digest(), np.uint64))
+                    ff.append(np.zeros((1, len(heads)), np.uint64))
                 pos = end
                 continue
         seg = data[pos:end]
@@ -165,11 +173,13 @@ def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray
         ss.append(s + pos)
         ee.append(e + pos)
         if hashed:
-            hh.append(_hash_piece(seg, s, e, fold))
+            h, first = _hash_piece(seg, s, e, fold, heads)
+            hh.append(h)
+            ff.append(first)
         pos = end
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     s = cat(ss, np.int64)
-    return Words(lo, hi, np.zeros(len(s), np.int64), s, cat(ee, np.int64), cat(hh, np.uint64))
+    return Words(lo, hi, np.zeros(len(s), np.int64), s, cat(ee, np.int64), cat(hh, np.uint64), np.concatenate(ff) if ff else np.zeros((0, len(heads)), np.uint64))
 
 
 def count(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments (operator 2).
 
-Words get log-odds between toxic and clean labelled texts under a Dirichlet
-prior (the words' pooled shares times ``prior``); a word counts with the lower
+Words, and word beginnings of a few lengths, get log-odds between toxic and clean labelled texts under a Dirichlet
+prior (the words' pooled shares times ``prior``); a word counts with the greatest lower
 end of its interval if that is at least ``least``, every other word with a small negative drift.  A
 linear-time scan (Ruzzo and Tompa) finds all maximal-scoring segments of a
 text.  Their scores are calibrated by extreme-value theory: with lambda from
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from . import _words as W
 from ._shared import labelled
 
+#: lengths (bytes) of word beginnings that count beside whole words: stems with varying endings
+HEADS = (4, 5, 6, 7)
+
 COUNTED = "hash long, word string, toxic long, clean long"
 SCORED = "n_words long, evidence double, score double, passages array<struct<start:long,end:long,score:double>>"
 
@@ -65,11 +68,14 @@ class Model:
     slope: float = 1.0
     bias: float = 0.0
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), -self.drift)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.weights[at], -self.drift)
+    def lookup(self, w: W.Words) -> np.ndarray:
+        out = np.full(len(w.hash), -self.drift)
+        if len(self.hashes):
+            for h in (w.hash, *w.heads.T):
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = np.flatnonzero(self.hashes[at] == h)
+                out[hit] = np.maximum(out[hit], self.weights[at[hit]])
+        return out
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.log1p(evidence), -500, 500)))
@@ -80,10 +86,10 @@ class Model:
         n = len(offs) - 1
         count, out, where = np.zeros(n, np.int64), np.zeros(n), [[] for _ in range(n)]
         for lo, hi in W.slices(offs):
-            w = W.scan(data, offs, lo, hi, W.ALPHA, lower=True)
+            w = W.scan(data, offs, lo, hi, W.ALPHA, lower=True, heads=HEADS)
             b = w.bounds()
             count[lo:hi] = np.diff(b)
-            s = self.lookup(w.hash)
+            s = self.lookup(w)
             up = np.flatnonzero(s > 0)
             total = np.concatenate([[0.0], np.cumsum(s)])
             for r in np.unique(w.row[up]):
@@ -114,12 +120,15 @@ def count_words(rows: DataFrame) -> DataFrame:
             label = batch.column(1).to_numpy(zero_copy_only=False) > 0
             for lo, hi in W.slices(offs, 8 * W.BLOCK):
                 for a, z in W.slices(offs[lo : hi + 1]):
-                    w = W.scan(data, offs, lo + a, lo + z, W.ALPHA, lower=True)
-                    h, first, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-                    bad = np.bincount(inv, weights=label[lo + a + w.row], minlength=len(h)).astype(np.int64)
-                    n = np.bincount(inv, minlength=len(h)).astype(np.int64)
-                    word = [W.LOWER[data[w.start[i] : min(w.end[i], w.start[i] + 64)]].tobytes().decode(errors="ignore") for i in first]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(word, pa.string()), pa.array(bad), pa.array(n - bad)], names=["hash", "word", "toxic", "clean"])
+                    w = W.scan(data, offs, lo + a, lo + z, W.ALPHA, lower=True, heads=HEADS)
+                    for k, hashes in enumerate((w.hash, *w.heads.T)):
+                        there = np.flatnonzero(hashes != 0)
+                        h, first, inv = np.unique(hashes[there], return_index=True, return_inverse=True)
+                        bad = np.bincount(inv, weights=label[lo + a + w.row[there]], minlength=len(h)).astype(np.int64)
+                        n = np.bincount(inv, minlength=len(h)).astype(np.int64)
+                        cut, mark = (HEADS[k - 1], "*") if k else (64, "")
+                        word = [W.LOWER[data[w.start[i] : min(w.end[i], w.start[i] + cut)]].tobytes().decode(errors="ignore") + mark for i in there[first]]
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(word, pa.string()), pa.array(bad), pa.array(n - bad)], names=["hash", "word", "toxic", "clean"])
 
     return rows.select("text", "label").mapInArrow(run, COUNTED).groupBy("hash").agg(F.min("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -129,17 +138,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000, vocabulary: int
     rows = labelled(docs, labels, "toxic", trains, limit, seed)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4))
     counts = count_words(rows.where(fold > 0))
-    totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    totals = counts.where("not endswith(word, '*')").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     # log-odds under the prior, and their deviation (Monroe et al.)
     share = (F.col("toxic") + F.col("clean")) / (F.col("t") + F.col("c")) * prior
     a, b = F.col("toxic") + share, F.col("clean") + share
     odds = F.log(a / (F.col("t") + prior - a)) - F.log(b / (F.col("c") + prior - b))
     sd = F.sqrt(1 / a + 1 / b)
     scored = counts.crossJoin(F.broadcast(totals)).where("t > 0 and c > 0").select("hash", "toxic", "clean", odds.alias("odds"), sd.alias("sd"), "t", "c")
-    words = scored.where(f"odds - 1.64 * sd > {least} and toxic > 1").orderBy(F.desc(F.col("odds") / F.col("sd")), "hash").limit(vocabulary).toArrow()
+    words = scored.where(f"odds - 2.0 * sd > {least} and toxic > 1").orderBy(F.desc(F.col("odds") / F.col("sd")), "hash").limit(vocabulary).toArrow()
     order = np.argsort(words["hash"].to_numpy().view(np.uint64))
     hashes = words["hash"].to_numpy().view(np.uint64)[order]
-    weights = (words["odds"].to_numpy() - 1.64 * words["sd"].to_numpy())[order]
+    weights = (words["odds"].to_numpy() - 2.0 * words["sd"].to_numpy())[order]
     # Karlin: sum of clean shares times exp(lambda * score) = 1
     lam = 1.0
     if len(order):
