@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ._shared import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -57,6 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
