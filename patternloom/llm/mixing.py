@@ -10,7 +10,7 @@ for all, and one more for documents in a seeded order until the rest is used.
 Patterns are as many as distinct source sets; ``max_patterns`` is checked, and
 beyond it the call raises rather than drop any.  Documents are never gathered:
 the seeded order is cut through a histogram of hash cells, and only the one
-cell of a pattern in which the cut lies is ordered.
+cell of a source in which the cut lies is ordered.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in
 order.  Rows with equal doc_id and text are separate rows whose order between
@@ -23,7 +23,7 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -136,42 +136,77 @@ def route(patterns: dict[tuple, int], quota: dict, max_repeats: int = 3) -> dict
     return {p: {s: flow.arcs[flow.arcs[u][k].to][flow.arcs[u][k].back].room for s, u, k in used[i]} for i, p in enumerate(names)}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 100_000, sized: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, repeats, taken) of every row of docs.
+@dataclass
+class Plan:
+    """Of each source (None: null): size, target, whole repetitions, the cell in which the extra one ends, and the words left there."""
 
-    weights: by source (None for null); unset: 1, 2, 3 repeating over the
-    sources in code-point order, null last.  With the one ``source`` column
-    each pattern is one source; ``route`` takes overlapping ones.
-    """
-    sized = sized if sized is not None else spill(word_counts(docs), "sizes")
-    spark = sized.sparkSession
-    sized = sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(CELLS)).cast("int"))
+    rows: list[tuple]
+
+    def table(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.rows, "plan_source string, source_size long, target double, whole int, cut int, rest double")
+
+
+def _cell(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(CELLS)).cast("int")
+
+
+def plan(sized: DataFrame, weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 100_000) -> Plan:
+    """Solve the flow over sized (doc_id, source, size, text_hash); the driver sees a row for each source."""
     per = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(per) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     sizes = {r.source: int(r["size"]) for r in per}
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weights = weights or {s: 1 + k % 3 for k, s in enumerate(order)}
     quota = targets(sizes, weights, max_repeats)
     given = {p[0]: sum(to.values()) for p, to in route({(s,): sizes[s] for s in order}, quota, max_repeats).items()}
-    plan = []
+    rows = []
     for s in order:
         whole = min(max_repeats, int(given[s] // sizes[s])) if sizes[s] else 0
-        plan.append((s, sizes[s], quota[s], whole, max(0.0, given[s] - whole * sizes[s]) if whole < max_repeats else 0.0))
-    # at most max_patterns rows
-    plans = spark.createDataFrame(plan, "plan_source string, source_size long, target double, whole int, rest double")
-    cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
+        rest = max(0.0, given[s] - whole * sizes[s]) if whole < max_repeats else 0.0
+        rows.append((s, sizes[s], quota[s], whole, -1, rest))
+    # where the seeded order reaches the rest: sums of cells, CELLS rows a source
+    cells = sized.groupBy("source", _cell(seed).alias("cell")).agg(F.sum("size").alias("cell_size"))
     upto = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell"))
-    edges = cells.withColumn("before", upto - F.col("cell_size"))  # CELLS rows a source
-    edges = edges.select(F.col("source").alias("cell_source"), F.col("cell").alias("at"), "cell_size", "before")
-    rows = sized.join(edges, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("cell") == F.col("at")))
-    rows = rows.join(F.broadcast(plans), F.col("source").eqNullSafe(F.col("plan_source")))
-    inside = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("cell_size") > F.col("rest"))
-    rows = rows.withColumn("cut", F.coalesce(inside, F.lit(False)))
-    within = Window.partitionBy("source", "cell").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 1)), "doc_id", "text_hash")
-    # rows of the cut cells are ordered; the rest need no order
-    cut = rows.where("cut").withColumn("reach", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    extra = {"cut": F.col("reach") - F.col("size") / 2 <= F.col("rest"), "whole": F.col("before") < F.col("rest")}
-    out = [d.withColumn("repeats", F.col("whole") + F.coalesce(e, F.lit(False)).cast("int")) for d, e in ((rows.where("not cut"), extra["whole"]), (cut, extra["cut"]))]
-    cols = ["doc_id", "source", "size", "source_size", "target", "repeats"]
-    return out[0].select(*cols).unionByName(out[1].select(*cols)).withColumn("taken", F.col("repeats") * F.col("size"))
+    table = F.broadcast(Plan(rows).table(sized.sparkSession))
+    cuts = cells.withColumn("before", upto - F.col("cell_size")).join(table, F.col("source").eqNullSafe(F.col("plan_source")))
+    cuts = cuts.where("before < rest and before + cell_size >= rest").groupBy("source").agg(F.min(F.struct("cell", "before")).alias("at")).collect()
+    at = {r.source: (r["at"]["cell"], r["at"]["before"]) for r in cuts}
+    return Plan([(s, n, t, w, at[s][0] if s in at else -1, r - at[s][1] if s in at else 0.0) for s, n, t, w, _, r in rows])
+
+
+def apply(sized: DataFrame, made: Plan, seed: int = 0) -> DataFrame:
+    """sized (doc_id, source, size, text_hash and any others) with source_size, target, repeats and taken.
+
+    Only the rows of the cut cells (about 1 in CELLS) are shuffled and ordered.
+    """
+    rows = sized.withColumn("_cell", _cell(seed)).join(F.broadcast(made.table(sized.sparkSession)), F.col("source").eqNullSafe(F.col("plan_source")))
+    easy = rows.where("_cell <> cut").withColumn("repeats", F.col("whole") + (F.col("_cell") < F.col("cut")).cast("int"))
+    within = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 1)), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.where("_cell = cut").withColumn("_reach", F.sum("size").over(within))
+    cut = cut.withColumn("repeats", F.col("whole") + (F.col("_reach") - F.col("size") / 2 <= F.col("rest")).cast("int")).drop("_reach")
+    out = easy.unionByName(cut).withColumn("taken", F.col("repeats") * F.col("size"))
+    return out.drop("_cell", "plan_source", "whole", "cut", "rest")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, max_repeats: int = 3, seed: int = 0, max_patterns: int = 100_000) -> DataFrame:
+    """(doc_id, source, size, source_size, target, repeats, taken) of every row of docs.
+
+    weights: by source (None for null); unset: 1, 2, 3 repeating over the
+    sources in code-point order, null last.  With the one ``source`` column
+    each pattern is one source; ``route`` takes overlapping ones.
+    """
+    sized = spill(word_counts(docs), "sizes")
+    return apply(sized, plan(sized, weights, max_repeats, seed, max_patterns), seed).drop("text_hash")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, columns as they are."""
+    seed = options.get("seed", 0)
+    made = plan(spill(word_counts(docs), "sizes"), **options)
+    # the flow's order needs sizes only within the cut cells
+    names = {c: f"_d_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "source", "text")}
+    rows = docs.withColumnsRenamed(names).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.withColumn("size", F.when(_cell(seed).isin(*{r[4] for r in made.rows}), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).otherwise(0))
+    out = apply(rows, made, seed).where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "repeats")))
+    return out.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)

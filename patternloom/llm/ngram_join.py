@@ -425,3 +425,15 @@ def join(docs: DataFrame) -> DataFrame:
     by_doc = member.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(by_doc.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; columns as they are.
+
+    Rows that a bloom filter proves to stay aren't shuffled.  Rows without a
+    doc_id, or without words, stay.
+    """
+    gone = spill(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    marked = maybe_in(docs, "doc_id", bloom(gone, "_gone"))
+    rest = marked.where("_maybe").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return marked.where("not _maybe").unionByName(rest).select(*docs.columns)
