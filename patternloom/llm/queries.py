@@ -18,7 +18,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
     out = report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages")
 
 
@@ -45,7 +45,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import score
 
     out, _ = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

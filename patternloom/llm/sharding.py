@@ -26,17 +26,25 @@ from pyspark.sql import functions as F
 
 from ._shared import spill
 
+RESULTS = ("size", "text_crc32", "shard", "slot")
+
 
 def _between(key: str, bounds: list[int]) -> Column:
     """Number of bounds <= key: a binary search in an array literal, in place of a join."""
     if not bounds:
         return F.lit(0)
-    top = 1 << (len(bounds).bit_length() - 1)
+    return _search(key, f"array({_values(bounds)})", len(bounds))
+
+
+def _values(bounds: list[int]) -> str:
+    return ",".join(f"{b}L" if b > -(2**63) else "-9223372036854775807L" for b in bounds)
+
+
+def _search(key: str, bounds: str, most: int) -> Column:
+    """Binary search in an SQL array of at most ``most`` bounds."""
+    top = 1 << (most.bit_length() - 1)
     steps = ",".join(str(top >> k) for k in range(top.bit_length()))
-    values = ",".join(f"{b}L" if b > -(2**63) else "-9223372036854775807L" for b in bounds)
-    return F.expr(
-        f"aggregate(array({steps}), 0, (at, step) -> at + if(at + step <= {len(bounds)} and `{key}` >= get(array({values}), at + step - 1), step, 0))"
-    )
+    return F.expr(f"aggregate(array({steps}), 0, (at, step) -> at + if(at + step <= size({bounds}) and `{key}` >= get({bounds}, at + step - 1), step, 0))")
 
 
 def _quantiles(rows: list[int], n: int) -> list[int]:
@@ -46,7 +54,8 @@ def _quantiles(rows: list[int], n: int) -> list[int]:
 
 def assign(docs: DataFrame, shards: int = 16, ranges: int = 1024, sample: int = 16_384, overfull: float = 2.0, seed: int = 0, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs' rows with size, text_crc32, shard and slot; ``keep`` names the columns that ride along."""
-    keep = keep if keep is not None else [doc_id]
+    # columns of docs that are named like results give way to them
+    keep = [c for c in (keep if keep is not None else [doc_id]) if c not in RESULTS]
     own = [
         F.xxhash64(text).alias("_key"),
         F.xxhash64(doc_id, F.length(text)).alias("_key2"),
@@ -65,11 +74,17 @@ def assign(docs: DataFrame, shards: int = 16, ranges: int = 1024, sample: int =
     spot = _between("_key", bounds)
     sums = {r[0]: r[1] for r in narrow.groupBy(spot.alias("r")).agg(F.sum("size")).collect()}
     share = total / ranges
-    sub = F.lit(0)
+    # overfull ranges are cut on the second key, by quantiles of the sample's own records of that range;
+    # all cuts are one nested literal, so the plan doesn't grow with their number
+    inner = {}
     for r in sorted(r for r, b in sums.items() if b > overfull * share):
-        # on the second key, by quantiles of the sample's own records of that range
-        mine = [k2 for k1, k2 in drawn if bisect_right(bounds, k1) == r]
-        sub = F.when(F.col("_range") == r, _between("_key2", _quantiles(mine, max(2, round(sums[r] / share))))).otherwise(sub)
+        if mine := _quantiles([k2 for k1, k2 in drawn if bisect_right(bounds, k1) == r], max(2, round(sums[r] / share))):
+            inner[r] = mine
+    sub = F.lit(0)
+    if inner:
+        cuts = "array(" + ",".join(f"array({_values(c)})" for c in inner.values()) + ")"
+        which = f"array_position(array({','.join(map(str, inner))}), `_range`)"
+        sub = F.when(F.expr(f"{which} > 0"), _search("_key2", f"get({cuts}, cast({which} as int) - 1)", max(map(len, inner.values())))).otherwise(0)
     ranged = lambda d: d.withColumn("_range", spot).withColumn("_sub", sub)
     per = sorted(tuple(r) for r in ranged(narrow).groupBy("_range", "_sub").agg(F.sum("size"), F.count("*")).collect())
     place, before, counts = [], 0, [0] * shards
