@@ -12,8 +12,8 @@ similarity of at least 0.8, as connected components.
    groups.  Equal sets collapse to one node.
 3. Nodes that share a key form a run.  Within a run an R-tree over count
    vectors (bulk-loaded by size) bounds the overlap of boxes, then of points,
-   by summed coordinate minima; pairs that could reach 0.8 survive, and their
-   sets are verified exactly.  First the runs of min-hash keys: they link most
+   by summed coordinate minima; pairs that could reach 0.8 survive, in the
+   second step also by finer vectors, and their sets are verified exactly.  First the runs of min-hash keys: they link most
    of each group of near copies.  Then, so that no link between components is
    lost, the runs of all prefix shingles on which different components meet.
 
@@ -261,6 +261,23 @@ def in_cells(rows: DataFrame, key: str) -> DataFrame:
     return out.drop("_key", "_b", "_own")
 
 
+FOUND = "u long, v long, key long, cell int, node long, comp long"
+
+
+def _found(u, v, m, key, cell, node, comp):
+    """A batch of pairs (u, v), then of members m."""
+    import pyarrow as pa
+
+    def column(first, rest, kind):
+        return pa.concat_arrays([first if first is not None else pa.nulls(len(u), kind), pa.array(rest, kind) if rest is not None else pa.nulls(len(m), kind)])
+
+    long, short = pa.int64(), pa.int32()
+    return pa.RecordBatch.from_arrays(
+        [column(pa.array(np.minimum(u, v), long), None, long), column(pa.array(np.maximum(u, v), long), None, long), column(None, key[m], long), column(None, cell[m], short), column(None, node[m], long), column(None, comp[m], long)],
+        names=["u", "v", "key", "cell", "node", "comp"],
+    )
+
+
 def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From runs (key, node, comp, n, counts): pairs (u, v) of small runs, and members (key, cell, node, comp) of larger
     ones, wherever the R-tree leaves a pair of different components."""
@@ -296,10 +313,9 @@ def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             u = np.concatenate(us) if us else np.zeros(0, np.int64)
             v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
             m = np.concatenate(members) if members else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), *(pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["u", "v", "key", "cell", "node", "comp"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.int64()), pa.array(key[m]), pa.array(cell[m]), pa.array(node[m]), pa.array(comp[m])], names=["u", "v", "key", "cell", "node", "comp"])
+            yield _found(u, v, m, key, cell, node, comp)
 
-    both = spill(rows.mapInArrow(run, "u long, v long, key long, cell int, node long, comp long"), "candidates")
+    both = spill(rows.mapInArrow(run, FOUND), "candidates")
     return both.where("u is not null").select("u", "v").distinct(), both.where("node is not null").select("key", "cell", "node", "comp")
 
 
@@ -314,24 +330,101 @@ def unpacked(raw) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (u, v): exactly verified pairs, and for each run of members a forest of its links."""
-    # a pair is a run of two
+def as_runs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, cell, node, comp), where a pair is a run of two."""
     p = pairs.select(F.xxhash64("u", "v").alias("key"), F.lit(-1).alias("cell"), F.explode(F.array("u", "v")).alias("node")).withColumn("comp", F.col("node"))
-    todo = spill(p.unionByName(members.select("key", "cell", "node", "comp")), "todo")
+    return spill(p.unionByName(members.select("key", "cell", "node", "comp")), "todo")
+
+
+def fetched(docs: DataFrame, todo: DataFrame, make, value: str) -> DataFrame:
+    """todo with n and ``made``: make(shingles of the document) of each node, from one pass over the texts.
+    A bloom filter of fixed size keeps documents that aren't asked for from being shuffled."""
     some = maybe_in(docs.select("doc_id", "text"), "doc_id", bloom(todo.select("node").distinct(), "node")).where("_maybe").select("doc_id", "text")
 
-    def pack(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             data, offs = W.column(batch.column(1))
             for lo, hi in W.slices(offs):
                 b, _, h = sets(data, offs, lo, hi, None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([packed(h[b[r] : b[r + 1]]) for r in range(hi - lo)], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(b)), pa.array([make(h[b[r] : b[r + 1]]) for r in range(hi - lo)], pa.binary())], names=["doc_id", "n", value]
+                )
+
+    have = some.mapInArrow(run, f"doc_id long, n long, {value} binary")
+    return todo.join(have, F.col("node") == F.col("doc_id")).select("key", "cell", "node", "comp", "n", value)
+
+
+def fine_groups(n: int) -> int:
+    """Groups of a set of n shingles at the fine level: about one for four shingles."""
+    return 1 << min(12, max(6, int(n // 4).bit_length()))
+
 
-    have = some.mapInArrow(pack, "doc_id long, shingles binary")
-    rows = todo.join(have, F.col("node") == F.col("doc_id")).select("key", "cell", "node", "comp", "shingles").repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
+def fine_counts(h: np.ndarray) -> bytes:
+    g = fine_groups(len(h))
+    at = (W.mix(h, 31) >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64)
+    return np.bincount(at, minlength=g).astype("<u4" if len(h) > 65_535 else "<u2").tobytes()
+
+
+def refined(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates that also pass the bound over finer count vectors, whose groups follow the size of the set:
+    long sets need more coordinates before summed minima tell them apart."""
+    rows = fetched(docs, as_runs(pairs, members), fine_counts, "fine").repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for t in runs_of(batches):
+            b = _bounds(t)
+            key, cell, node, comp, n = (t.column(k).to_numpy() for k in range(5))
+            raw = t.column(5)
+            us, vs, ms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r in range(len(b) - 1):
+                s, f = b[r], b[r + 1] - b[r]
+                i, j = _fine_pairs([raw[k].as_buffer() for k in range(s, s + f)], n[s : s + f], comp[s : s + f])
+                if len(i) <= 8 * f:
+                    us.append(node[s + i])
+                    vs.append(node[s + j])
+                else:
+                    ms.append(s + np.unique(np.concatenate([i, j])))
+            yield _found(np.concatenate(us), np.concatenate(vs), np.concatenate(ms), key, cell, node, comp)
+
+    both = spill(rows.mapInArrow(run, FOUND), "refined")
+    return both.where("u is not null").select("u", "v").distinct(), both.where("node is not null").select("key", "cell", "node", "comp")
+
+
+def _fine_pairs(raw: list, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of different components that pass the fine bound; members are sorted by n."""
+    by_groups: dict[int, list[int]] = {}
+    for k, size in enumerate(n.tolist()):
+        by_groups.setdefault(fine_groups(size), []).append(k)
+    read = {g: np.stack([np.frombuffer(raw[k], "<u4" if n[k] > 65_535 else "<u2").astype(np.int32) for k in ks]) for g, ks in by_groups.items()}
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g, ks in by_groups.items():
+        own = np.array(ks)
+        sides = [(own, read[g], True)]
+        if 2 * g in by_groups:  # sets of 0.8 have as many groups, or twice as many
+            sides.append((np.array(by_groups[2 * g]), read[2 * g].reshape(len(by_groups[2 * g]), g, 2).sum(2), False))
+        for other, vectors, same in sides:
+            for x, k in enumerate(own.tolist()):
+                lo = x + 1 if same else 0
+                hi = int(np.searchsorted(n[other], n[k] * 5 // 4, side="right"))
+                js = np.arange(lo, max(lo, hi))
+                js = js[comp[other[js]] != comp[k]]
+                for part in range(0, len(js), 2048):
+                    y = js[part : part + 2048]
+                    y = y[9 * np.minimum(read[g][x], vectors[y]).sum(1) >= 4 * (n[k] + n[other[y]])]
+                    out_i.append(np.full(len(y), k))
+                    out_j.append(other[y])
+    i, j = np.concatenate(out_i), np.concatenate(out_j)
+    return np.minimum(i, j), np.maximum(i, j)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (u, v): exactly verified pairs, and for each run of members a forest of its links."""
+    rows = fetched(docs, as_runs(pairs, members), packed, "shingles").drop("n")
+    rows = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "node")
 
     def run(batches):
         import pyarrow as pa
@@ -412,7 +505,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met = postings.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     rows = spill(postings.join(met, "key"), "met")
     rows = rows.join(nodes.select("node", "n", "counts"), "node")
-    second = verified(docs, *candidates(rows))
+    second = verified(docs, *refined(docs, *candidates(rows)))
     return sig, member, first.union(second)
 
 
