@@ -59,9 +59,9 @@ WARC = "record_type string, date string, uuid string, content_type string, metad
 
 def parse_warc(raw: bytes) -> Iterator[dict]:
     """Records of a WARC file: from a version line through all headers, then Content-Length bytes."""
-    at = 0
+    at = after = 0
     while (at := raw.find(b"WARC/", at)) >= 0:
-        if at and raw[at - 1 : at] != b"\n":
+        if at != after and raw[at - 1 : at] != b"\n":
             at += 5
             continue
         ends = [(raw.find(sep, at), len(sep)) for sep in (b"\r\n\r\n", b"\n\n")]
@@ -77,7 +77,7 @@ def parse_warc(raw: bytes) -> Iterator[dict]:
         body = raw[end + gap : end + gap + size]
         known = {k: head.pop(k, None) for k in ("WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Type")}
         yield {"record_type": known["WARC-Type"], "date": known["WARC-Date"], "uuid": known["WARC-Record-ID"], "content_type": known["Content-Type"], "metadata": list(head.items()), "content": body, "docid": head.get("WARC-TREC-ID"), "text": payload_text(body)}
-        at = end + gap + size
+        at = after = end + gap + size
 
 
 def payload_text(body: bytes) -> str:
