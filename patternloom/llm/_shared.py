@@ -34,8 +34,13 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: bytes of text in a batch that a Python worker gets: long texts come few at a time
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -81,12 +86,28 @@ def bloom(ids: DataFrame, key: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
+PLACES = [f"_k{i}" for i in range(4)]
+
+
+def with_places(df: DataFrame, key: str) -> DataFrame:
+    """df with the places of key in a bloom filter, and whether it is null."""
+    return df.withColumns({n: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOOM_BITS)) for i, n in enumerate(PLACES)}).withColumn("_null", F.col(key).isNull())
+
+
+def places_set(batch, bits: np.ndarray) -> np.ndarray:
+    """Rows of an Arrow batch whose places are all set."""
+    ok = ~batch.column("_null").to_numpy(zero_copy_only=False)
+    for n in PLACES:
+        b = batch.column(n).to_numpy(zero_copy_only=False)
+        ok &= (bits[b >> 6] >> (b & 63)) & 1 == 1
+    return ok
+
+
 def maybe_in(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
     """df with a column ``_maybe``: false where the filter proves that key isn't in it. Null keys are never in it."""
     shared = df.sparkSession.sparkContext.broadcast(words)
     columns = df.columns
-    names = [f"_k{i}" for i in range(4)]
-    wide = df.withColumns({n: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOOM_BITS)) for i, n in enumerate(names)}).withColumn("_null", F.col(key).isNull())
+    wide = with_places(df, key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", _maybe boolean"
 
     def mark(batches):
@@ -94,11 +115,7 @@ def maybe_in(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
 
         bits = shared.value
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for n in names:
-                b = batch.column(n).to_numpy(zero_copy_only=False)
-                ok &= (bits[b >> 6] >> (b & 63)) & 1 == 1
-            ok &= ~batch.column("_null").to_numpy(zero_copy_only=False)
+            ok = places_set(batch, bits)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(ok)], names=[*columns, "_maybe"])
 
     return wide.mapInArrow(mark, schema)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 SPACES = b" \t\n\x0b\x0c\r"

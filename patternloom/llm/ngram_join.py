@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import bloom, components, maybe_in, spill
+from ._shared import bloom, components, maybe_in, places_set, spill, with_places
 
 SHINGLE = 5
 GROUPS = 64
@@ -339,12 +339,13 @@ def as_runs(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def fetched(docs: DataFrame, todo: DataFrame, make, value: str) -> DataFrame:
     """todo with n and ``made``: make(shingles of the document) of each node, from one pass over the texts.
     A bloom filter of fixed size keeps documents that aren't asked for from being shuffled."""
-    some = maybe_in(docs.select("doc_id", "text"), "doc_id", bloom(todo.select("node").distinct(), "node")).where("_maybe").select("doc_id", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(todo.select("node").distinct(), "node"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            batch = batch.filter(pa.array(places_set(batch, shared.value)))
             data, offs = W.column(batch.column(1))
             for lo, hi in W.slices(offs):
                 b, _, h = sets(data, offs, lo, hi, None)
@@ -352,7 +353,7 @@ def fetched(docs: DataFrame, todo: DataFrame, make, value: str) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(b)), pa.array([make(h[b[r] : b[r + 1]]) for r in range(hi - lo)], pa.binary())], names=["doc_id", "n", value]
                 )
 
-    have = some.mapInArrow(run, f"doc_id long, n long, {value} binary")
+    have = with_places(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, f"doc_id long, n long, {value} binary")
     return todo.join(have, F.col("node") == F.col("doc_id")).select("key", "cell", "node", "comp", "n", value)
 
 
