@@ -209,4 +209,5 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumnsRenamed(names).withColumn("text_hash", F.xxhash64("text"))
     rows = rows.withColumn("size", F.when(_cell(seed).isin(*{r[4] for r in made.rows}), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))).otherwise(0))
     out = apply(rows, made, seed).where("repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "repeats")))
-    return out.withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+    # the mix's own columns go before docs' columns get their names back
+    return out.select(*[names.get(c, c) for c in docs.columns]).withColumnsRenamed({v: k for k, v in names.items()})
