@@ -66,7 +66,7 @@ def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
             out.update(give)
             break
         for s in full:
-            out[s] = most * sizes[s]
+            out[s] = float(most * sizes[s])
             left -= out[s]
         open_ = [s for s in open_ if s not in full]
     return out

@@ -461,6 +461,14 @@ def test_targets_and_flow():
     assert sum(flow["a", "b"].values()) <= 10  # no repetition while first uses are left
 
 
+def test_mixing_source_at_its_limit(spark):
+    """A source whose share is above three times its size is taken three times; the others share the rest."""
+    d = spark.createDataFrame([(k, "a b c d", "en", "big" if k else "small", 7) for k in range(101)], DOCS)
+    got = {r.doc_id: r for r in mixing.mix(d, {"big": 1, "small": 50}).collect()}
+    assert (got[0].target, got[0].taken) == (12.0, 12)
+    assert got[1].target == 392.0 and abs(sum(r.taken for r in got.values()) - 404) <= 4
+
+
 def test_mixing(docs, texts):
     got = mixing.mix(docs).collect()
     assert len(got) == docs.count()
