@@ -374,6 +374,40 @@ def test_line_dedup(spark):
     assert all(sum(bool(SPACE.search(x)) for x in t.split("\n")) <= n_lines[k] for k, t in clean.items())
 
 
+def test_line_dedup_grows_with_length(spark):
+    """Near copies of long lines by whole words, and of short lines by one or two edits."""
+    rng = random.Random(9)
+    words = vocabulary(rng)
+    lines, copies = [], []
+    for n in [5, 7, 9, 12, 16, 20, 24, 40, 60] * 3:
+        own = [rng.choice(words) for _ in range(n)]
+        other = list(own)
+        for k in rng.sample(range(n), max(1, n // 20)):
+            other[k] = rng.choice(words)
+        lines.append(" ".join(own))
+        copies.append(" ".join(other))
+    for n in [12, 15, 18, 22, 26, 33, 45] * 3:
+        lines.append("".join(rng.choice("abcdef gé") for _ in range(n)))
+        copies.append(edited(rng, lines[-1], n // 10))
+    names = sorted({*lines, *copies})
+    want = {(a, b) for a, b in combinations(names, 2) if abs(len(a) - len(b)) <= max(len(a), len(b)) // 10 and distance(a, b) <= max(len(a), len(b)) // 10}
+    assert sum(distance(a, b) > 2 for a, b in want) > 10 and any(len(a) < 20 for a, _ in want)
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    _, got = line_dedup.classes(df, grow=10)
+    of = {names[r["first"]["doc_id"]]: r["class"] for r in got.collect()}
+    parent = {x: x for x in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in want:
+        parent[find(a)] = find(b)
+    assert len(set(of.values())) == len({find(x) for x in names})
+    assert all(of[a] == of[b] for a, b in want)
+
+
 # ---------------------------------------------------------------- 7
 
 
