@@ -408,6 +408,23 @@ def test_line_dedup_grows_with_length(spark):
     assert all(of[a] == of[b] for a, b in want)
 
 
+def test_line_groups(spark):
+    """The rows name the class of each line, so planted repeats and near copies are found in the result."""
+    base = "a line of several words that another document has nearly as it is"
+    data = [(1, f"{base}\n\nown line of document one"), (2, base), (3, "short\n" + base.replace("several", "seven") + "\nshort"), (4, None), (5, "short")]
+    data += [(k, "hot line") for k in range(10, 10 + line_dedup.HOT)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = line_dedup.groups(df, grow=10).collect()
+    assert len(got) == 8 + line_dedup.HOT
+    by = {(r.doc_id, r.line_no): r for r in got}
+    assert len({by[k].class_id for k in ((1, 0), (2, 0), (3, 1))}) == 1 and by[1, 0].line_id == by[2, 0].line_id != by[3, 1].line_id
+    assert all((by[k].class_doc_id, by[k].class_line_no) == (1, 0) for k in ((1, 0), (2, 0), (3, 1)))
+    assert len({by[k].class_id for k in ((3, 0), (3, 2), (5, 0))}) == 1 and by[1, 2].class_id not in (by[1, 0].class_id, by[5, 0].class_id)
+    assert [k for k in sorted(by, key=str) if by[k].kept] == [(1, 0), (1, 2), (10, 0), (3, 0)]
+    assert by[4, None].class_id is None and by[4, None].n_lines == 0
+    assert {(r.doc_id, r.n_lines, r.n_kept, r.n_near) for r in got} == {tuple(r) for r in line_dedup.report(df, grow=10).collect()}
+
+
 # ---------------------------------------------------------------- 7
 
 
