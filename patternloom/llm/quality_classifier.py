@@ -85,10 +85,13 @@ def fit(x: np.ndarray, label: np.ndarray, cut: float = 0.3, pairs: int = 60_000,
     return Ranking(mean, sd, w, at, scale, cut)
 
 
+def _trains() -> Column:
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 != 0
+
+
 def train(stats: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int = 20_000, seed: int = 0) -> Ranking:
     """From statistics (doc_id and COUNTS) of documents; held-out rows (crc32 mod 5 = 0) never train."""
-    trains = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 != 0
-    seen = labelled(stats, labels, "quality", trains, limit, seed, columns=tuple(stats.columns)).select(*ratios(), "label").toArrow()
+    seen = labelled(stats, labels, "quality", _trains(), limit, seed, columns=tuple(stats.columns)).select(*ratios(), "label").toArrow()
     x = np.column_stack([seen[n].to_numpy() for n in NAMES]) if seen.num_rows else np.zeros((0, len(NAMES)))
     return fit(x, seen["label"].to_numpy(), cut, seed=seed)
 
@@ -102,7 +105,7 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int = 20_
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int = 20_000, seed: int = 0) -> DataFrame:
     """docs without those that score below the cut; columns as they are."""
-    sample = labelled(docs, labels, "quality", F.lit(True), limit, seed).drop("label")
+    sample = labelled(docs, labels, "quality", _trains(), limit, seed).drop("label")
     model = train(with_stats(sample).drop("text"), labels, cut, limit, seed)
     scored = with_stats(docs, prefix="_q_")
     return scored.where(model.column("_q_") >= cut).select(*docs.columns)

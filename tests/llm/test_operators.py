@@ -425,6 +425,19 @@ def test_line_groups(spark):
     assert {(r.doc_id, r.n_lines, r.n_kept, r.n_near) for r in got} == {tuple(r) for r in line_dedup.report(df, grow=10).collect()}
 
 
+def test_quality_stage_trains_as_the_operator(spark, monkeypatch):
+    """With more labels than the limit, keep_good fits on the rows that score fits on."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["a", "Bcd", "ef.", "12", "!?"]) * rng.randint(1, 3) for _ in range(20)), k % 2) for k in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    lab = d.select("doc_id", F.col("y").alias("quality"))
+    sizes, fit = [], quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, y, *a, **b: (sizes.append((len(x), sorted(x.sum(1).round(9)))), fit(x, y, *a, **b))[1])
+    quality_classifier.score(d, lab, limit=30)
+    quality_classifier.keep_good(d, lab, limit=30)
+    assert sizes[0][0] == 30 and sizes[0] == sizes[1]
+
+
 # ---------------------------------------------------------------- 7
 
 
