@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +18,12 @@ _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own on a local master (tests), else an error."""
     global _own
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="loom-")
     return _own
@@ -30,8 +34,26 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     lost executor costs no recomputation beyond the running stage."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"loom-{uuid.uuid4().hex}-{name}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete spilled tables that nothing reads any more, and let Spark delete the shuffles behind them."""
+    for t in tables:
+        spark, path = t.sparkSession, t._loom_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with the package where Python workers find it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 #: bytes of text in a batch that a Python worker gets: long texts come few at a time
@@ -86,17 +108,17 @@ def bloom(ids: DataFrame, key: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
-PLACES = [f"_k{i}" for i in range(4)]
+PLACES = [f"_loom_k{i}" for i in range(4)]
 
 
 def with_places(df: DataFrame, key: str) -> DataFrame:
     """df with the places of key in a bloom filter, and whether it is null."""
-    return df.withColumns({n: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOOM_BITS)) for i, n in enumerate(PLACES)}).withColumn("_null", F.col(key).isNull())
+    return df.withColumns({n: F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOOM_BITS)) for i, n in enumerate(PLACES)}).withColumn("_loom_null", F.col(key).isNull())
 
 
 def places_set(batch, bits: np.ndarray) -> np.ndarray:
     """Rows of an Arrow batch whose places are all set."""
-    ok = ~batch.column("_null").to_numpy(zero_copy_only=False)
+    ok = ~batch.column("_loom_null").to_numpy(zero_copy_only=False)
     for n in PLACES:
         b = batch.column(n).to_numpy(zero_copy_only=False)
         ok &= (bits[b >> 6] >> (b & 63)) & 1 == 1
@@ -118,23 +140,25 @@ def maybe_in(df: DataFrame, key: str, words: np.ndarray) -> DataFrame:
             ok = places_set(batch, bits)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(ok)], names=[*columns, "_maybe"])
 
-    return wide.mapInArrow(mark, schema)
+    return map_batches(wide, mark, schema)
 
 
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (u, v): the smallest node reachable.
 
     Each round every node takes the smallest label around it and then that
     label's own label (pointer jumping), so the number of rounds grows with
-    the logarithm of the diameter.  Labels stay in the shared folder; the
-    driver sees only the number of changes.
+    the logarithm of the diameter; rounds go on until nothing changes.  Labels
+    stay in the shared folder, those of the round before are deleted; the
+    driver sees only whether something changed.
     """
     both = spill(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    labels = spill(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
-    for _ in range(rounds):
+    held = spill(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), "labels")
+    labels = held
+    while True:
         near = (
             both.join(labels.select(F.col("node").alias("v"), "component"), "v")
             .groupBy("u")
@@ -147,5 +171,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         changed = step.where("component <> next").limit(1).count()
         labels = step.select("node", F.col("next").alias("component"))
         if not changed:
+            drop(held, both)
+            labels._loom_path = step._loom_path
             return labels
-    raise RuntimeError("components did not settle")
+        drop(held)
+        held = step

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 19
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: words of more bytes are hashed one by one with BLAKE2b, others in blocks of eight bytes
+LONG = 256
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -40,17 +41,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _SAME = np.arange(256, dtype=np.uint8)
 
-_powers = np.ones(1, np.uint64)
-
-
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, BLOCK), _BASE))]).astype(np.uint64)
-    return _powers
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (two multiply-xorshift rounds)."""
     with np.errstate(over="ignore"):
@@ -117,22 +107,64 @@ def _edges(seg: np.ndarray, inner: np.ndarray, table: np.ndarray) -> tuple[np.nd
     return np.flatnonzero(s), np.flatnonzero(e) + 1
 
 
+def step(h: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Take one more 64-bit block into the states h."""
+    with np.errstate(over="ignore"):
+        h = (h ^ block) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(29))
+
+
+def _loads(seg: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of seg (zeros past its end) as one number."""
+    wide = np.zeros(len(seg) + 8, np.uint8)
+    wide[: len(seg)] = seg
+    return np.ndarray((len(seg) + 1,), "<u8", wide, strides=(1,))
+
+
+def _block(v: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Blocks from ``at``, of which only the first ``left`` bytes count."""
+    shift = (np.maximum(8 - left, 0) * 8).astype(np.uint64)
+    return (v[at] << shift) >> shift
+
+
 def _hash_piece(seg: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray, heads: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: sum of (byte + 1) * base^place, moved to one place for all words and mixed; and of its heads."""
-    h_len = 2 * BLOCK
+    """Of each word s..e: a hash of its length and its bytes in blocks of eight, each mixed in before the next; and of its heads."""
+    size = e - s
+    h = mix(size.astype(np.uint64), 3)
+    out = np.zeros((len(s), len(heads)), np.uint64)
     if not len(s):
-        return np.zeros(0, np.uint64), np.zeros((0, len(heads)), np.uint64)
-    p = _pow(h_len + 1)
-    with np.errstate(over="ignore"):
-        c = np.empty(len(seg) + 1, np.uint64)
-        c[0] = 0
-        np.cumsum((fold[seg].astype(np.uint64) + np.uint64(1)) * p[: len(seg)], out=c[1:])
-        place = p[h_len - s]
-        out = np.zeros((len(s), len(heads)), np.uint64)
-        for k, n in enumerate(heads):
-            ok = e - s >= n
-            out[ok, k] = mix((c[s[ok] + n] - c[s[ok]]) * place[ok] + np.uint64(n), 1)
-        return mix((c[e] - c[s]) * place + (e - s).astype(np.uint64)), out
+        return h, out
+    seg = fold[seg]
+    v = _loads(seg)
+    live = np.arange(len(s))
+    k = 0
+    while len(live):
+        h[live] = step(h[live], _block(v, s[live] + k, size[live] - k))
+        k += 8
+        live = live[(size[live] > k) & (size[live] <= LONG)]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(seg[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    for k, n in enumerate(heads):
+        ok = size >= n
+        out[ok, k] = mix(step(np.full(int(ok.sum()), np.uint64(n)), _block(v, s[ok], np.full(int(ok.sum()), n))), 1)
+    return mix(h), out
+
+
+def same(data: np.ndarray, s: np.ndarray, e: np.ndarray, t: np.ndarray, u: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Whether the bytes s..e and t..u of data are equal, pair by pair: the check by content behind equal hashes."""
+    fold = LOWER if lower else _SAME
+    out = e - s == u - t
+    for i in np.flatnonzero(out & (e - s > LONG)):
+        out[i] = all(np.array_equal(fold[data[s[i] + k : min(s[i] + k + BLOCK, e[i])]], fold[data[t[i] + k : min(t[i] + k + BLOCK, u[i])]]) for k in range(0, int(e[i] - s[i]), BLOCK))
+    live = np.flatnonzero(out & (e - s <= LONG))
+    for k in range(LONG):
+        live = live[(e[live] - s[live]) > k]
+        if not len(live):
+            break
+        out[live] = fold[data[s[live] + k]] == fold[data[t[live] + k]]
+        live = live[out[live]]
+    return out
 
 
 def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray = NOT_SPACE, lower: bool = False, hashed: bool = True, heads: tuple = ()) -> Words:
@@ -164,8 +196,8 @@ def scan(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray
                     d = hashlib.blake2b(digest_size=8)
                     for k in range(pos, end, BLOCK):
                         d.update(fold[data[k : min(k + BLOCK, end)]].tobytes())
-                    hh.append(np.frombuffer(d.digest(), np.uint64))
-                    ff.append(np.zeros((1, len(heads)), np.uint64))
+                    hh.append(mix(np.frombuffer(d.digest(), "<u8").astype(np.uint64)))
+                    ff.append(_hash_piece(data[pos : pos + LONG], np.zeros(1, np.int64), np.full(1, LONG), fold, heads)[1])
                 pos = end
                 continue
         seg = data[pos:end]
@@ -197,8 +229,32 @@ def windows(w: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     if len(w.row) < n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(w.row[n - 1 :] == w.row[: len(w.row) - n + 1])
-    with np.errstate(over="ignore"):
-        h = np.full(len(at), np.uint64(0x51ED270B + n))
-        for k in range(n):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + w.hash[at + k]
+    h = np.full(len(at), np.uint64(0x51ED270B + n))
+    for k in range(n):
+        h = step(h, w.hash[at + k])
     return at, mix(h, seed)
+
+
+def normalised(data: np.ndarray, offs: np.ndarray, lo: int, hi: int, table: np.ndarray = NOT_SPACE) -> list[bytes]:
+    """Of each row its lower-cased words, one blank between two; equal exactly where the words are."""
+    base, stop = int(offs[lo]), int(offs[hi])
+    if hi > lo + 1 or stop - base <= 2 * BLOCK:
+        seg = data[base:stop]
+        word = table[seg]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        kept = np.where(word, LOWER[seg], np.uint8(32))[keep]
+        cut = np.concatenate([[0], np.cumsum(keep)])[offs[lo : hi + 1] - base]
+        raw = kept.tobytes()
+        # a blank right after a row's end belongs to the next row's start
+        return [raw[a:z].strip(b" ") for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    out, before = [], False
+    for a in range(base, stop, BLOCK):
+        seg = data[a : min(a + BLOCK, stop)]
+        word = table[seg]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        keep[0] |= before
+        out.append(np.where(word, LOWER[seg], np.uint8(32))[keep].tobytes())
+        before = bool(word[-1])
+    return [b"".join(out).strip(b" ")]
