@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._shared import map_batches
 
 #: whole-number statistics, in the order of their columns
 COUNTS = ("n_bytes", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_letters", "n_digits", "n_bang", "n_pipe", "n_edge_symbols", "max_word")
@@ -57,22 +58,29 @@ def stats(arr) -> dict[str, np.ndarray]:
         if len(i):
             order = np.lexsort((h, w.row[i]))
             r, h = w.row[i][order], h[order]
+            i = i[order]
             same = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
+            some = np.flatnonzero(same)
+            for k in range(5):  # equal hashes count only for equal words
+                a, b = i[some] + k, i[some + 1] + k
+                same[some] &= W.same(data, w.start[a], w.end[a], w.start[b], w.end[b])
             twice = np.zeros(len(r), bool)
             twice[1:] |= same
             twice[:-1] |= same
             hit = np.zeros(len(w.row) + 1, np.int64)
-            np.add.at(hit, i[order][twice], 1)
-            np.add.at(hit, i[order][twice] + 5, -1)
+            np.add.at(hit, i[twice], 1)
+            np.add.at(hit, i[twice] + 5, -1)
             out["n_repeat_words"][at] = np.bincount(w.row[np.cumsum(hit[:-1]) > 0], minlength=rows)
         # lines with a word, and those equal to an earlier one
         ln = W.scan(data, offs, lo, hi, W.NOT_NEWLINE)
         if len(ln.row):
             with_word = np.searchsorted(w.start, ln.end) > np.searchsorted(w.start, ln.start)
-            r, h = ln.row[with_word], ln.hash[with_word]
+            r, h, a, z = ln.row[with_word], ln.hash[with_word], ln.start[with_word], ln.end[with_word]
             order = np.lexsort((h, r))
-            r, h = r[order], h[order]
+            r, h, a, z = r[order], h[order], a[order], z[order]
             again = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
+            some = np.flatnonzero(again)
+            again[some] &= W.same(data, a[some], z[some], a[some + 1], z[some + 1])
             out["n_lines"][at] = np.bincount(r, minlength=rows)
             out["n_dup_lines"][at] = np.bincount(r[1:][again], minlength=rows)
     return out
@@ -90,7 +98,7 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
             s = stats(batch.column(columns.index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(s[c]) for c in COUNTS)], names=[*columns, *(prefix + c for c in COUNTS)])
 
-    return docs.mapInArrow(add, schema)
+    return map_batches(docs, add, schema)
 
 
 #: ratios that the learners see, as SQL over COUNTS (``{p}`` is the prefix)

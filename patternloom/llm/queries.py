@@ -38,7 +38,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import groups
 
-    return groups(read(spark, sf_dir, "documents"), grow=10)
+    return groups(read(spark, sf_dir, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

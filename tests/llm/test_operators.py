@@ -254,7 +254,7 @@ def test_ngram_join(docs, texts):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([k for k in want if want[k] == k] + [3] * (want[3] == 3))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([k for k in want if want[k] == k] )
 
 
 @pytest.mark.parametrize("size", [3, 40, 200])
@@ -283,13 +283,47 @@ def test_tree_and_forest(size):
 
 
 def test_cells(spark, monkeypatch):
+    """Every pair of different components of an overfull run meets in a cell; a star's cells share its centres."""
     monkeypatch.setattr(ngram_join, "CELL", 10)
-    rows = spark.range(35).select(F.lit(1).alias("key"), F.col("id").alias("node"))
-    seen = defaultdict(set)
-    for r in ngram_join.in_cells(rows, "key").collect():
-        seen[r.cell].add(r.node)
-    met = {(a, b) for s in seen.values() for a, b in combinations(sorted(s), 2)}
-    assert met == set(combinations(range(35), 2)) and max(map(len, seen.values())) < 35
+    rows = spark.range(60).select(F.lit(1).alias("key"), F.col("id").alias("node"), F.when(F.col("id") < 35, 0).otherwise(F.col("id")).alias("comp"), F.lit(20).alias("n"))
+    few = spark.createDataFrame([(2, k, k, 20) for k in range(5)], "key long, node long, comp long, n long")
+    seen, per = defaultdict(set), defaultdict(set)
+    for r in ngram_join.in_cells(rows.unionByName(few)).collect():
+        seen[r.key, r.cell].add(r.node)
+    met = {p for s in seen.values() for p in combinations(sorted(s), 2)}
+    assert {(a, b) for a, b in combinations(range(60), 2) if b >= 35} <= met and max(map(len, seen.values())) < 40
+    assert seen[2, 0] == set(range(5))
+    for r in ngram_join.in_stars(rows).collect():
+        per[r.cell].add(r.node)
+    assert set().union(*per.values()) == set(range(60)) and all({0, 59} <= s for s in per.values()) and sum(map(len, per.values())) < 60 + 2 * 6
+
+
+def thue(n):
+    """A text of two letters and its complement: polynomial hashes modulo 2^64 can't tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_hashes_that_differ(spark):
+    a, b = thue(1024)
+    stats = _stats.stats(pa.array([f"{a}\n{b}\nc", f"{a}\n{b}\n{a}", f"{a} x y z w {b} x y z w"]))
+    assert stats["n_dup_lines"].tolist() == [0, 1, 0] and stats["n_repeat_words"].tolist() == [0, 0, 0]
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert sorted((r.doc_id, r.n_lines, r.n_kept) for r in line_dedup.report(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 2, 0)]
+
+
+def test_keep_one_columns(spark):
+    """Columns named like the operator's own ride along; of rows that repeat the kept doc_id one stays."""
+    words = " ".join(f"w{k}" for k in range(40))
+    names = ["_k0", "_loom_k0", "_null", "_maybe", "_gone", "_times", "_first", "_number", "component_id", "n_shingles"]
+    rows = [(1, words), (1, words), (1, words + " more"), (2, words), (3, "other words here"), (4, ""), (4, ""), (None, words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(k + 7).alias(c) for k, c in enumerate(names)])
+    got = ngram_join.keep_one(df)
+    assert got.columns == df.columns
+    out = got.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out if r.doc_id != 1) == [(0, words), (3, "other words here"), (4, ""), (4, "")] and sum(r.doc_id == 1 for r in out) == 1
+    assert all(r[c] == k + 7 for r in out for k, c in enumerate(names))
 
 
 def test_components(spark):
@@ -331,15 +365,8 @@ def test_edit_distance():
         assert line_dedup.within(a, b, 2) == (distance(a, b) <= 2)
 
 
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    lines = ["".join(rng.choice("abcdef gé") for _ in range(rng.randint(20, 50))) for _ in range(30)]
-    lines += [edited(rng, rng.choice(lines), rng.randint(0, 3)) for _ in range(60)] + ["hot line that many texts share, all of them"]
-    data = []
-    for k in range(40):
-        data.append((k, "\n".join([*(rng.choice(lines) for _ in range(rng.randint(0, 5))), lines[-1], "", "  "])))
-    data += [(50, None), (51, ""), (52, "\n".join(edited(rng, lines[-1], 2) for _ in range(40))), (53, "q" * 100_000), (2, data[2][1])]
-    df = spark.createDataFrame(data, "doc_id long, text string")
+def plain_lines(data):
+    """Counts by document of ``line_dedup.report``, by comparing all lines with each other."""
     first, n_lines = {}, {}
     for k, t in sorted({(k, t or "") for k, t in data}):
         own = [(i, x) for i, x in enumerate(t.split("\n")) if SPACE.search(x)]
@@ -354,75 +381,88 @@ def test_line_dedup(spark):
             x = parent[x]
         return x
 
-    for a, b in combinations([x for x in names if 24 <= len(x) < 1000], 2):
-        if distance(a, b) <= 2:
+    links = 0
+    for a, b in combinations(names, 2):
+        t = int(line_dedup.edits(max(len(a), len(b))))
+        if len(a) < 2000 and len(b) < 2000 and abs(len(a) - len(b)) <= t and Counter(a).keys() and distance(a, b) <= t:
+            links += 1
             parent[find(a)] = find(b)
     best = {}
     for x in names:
-        best[find(x)] = min(best.get(find(x), (99, 99)), first[x])
+        best[find(x)] = min(best.get(find(x), (1 << 30, 0)), first[x])
     kept, near = Counter(), Counter()
     for x in names:
         (kept if first[x] == best[find(x)] else near)[first[x][0]] += 1
-    got = line_dedup.report(df).collect()
+    return {k: (n_lines[k], kept[k], near[k]) for k in n_lines}, links, {x: best[find(x)] for x in names}
+
+
+def test_line_dedup(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdef gé") for _ in range(rng.randint(12, 50))) for _ in range(30)]
+    lines += [edited(rng, rng.choice(lines), rng.randint(0, 2)) for _ in range(60)] + ["hot line that many texts share, all of them"]
+    data = []
+    for k in range(40):
+        data.append((k, "\n".join([*(rng.choice(lines) for _ in range(rng.randint(0, 5))), lines[-1], "", "  "])))
+    data += [(50, None), (51, ""), (52, "\n".join(edited(rng, lines[-1], 2) for _ in range(40))), (53, "q" * 100_000), (2, data[2][1])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want, links, _ = plain_lines(data)
+    assert links > 10
+    got = line_dedup.report(df.withColumns({c: F.lit(1) for c in ("rid", "key", "node", "lines", "n")})).collect()
     assert len(got) == len(data)
     by = defaultdict(list)
     for r in got:
         by[r.doc_id].append((r.n_lines, r.n_kept, r.n_near))
     for k, rows in by.items():
-        assert max(rows) == (n_lines[k], kept[k], near[k])
+        assert max(rows) == want[k] and all(x[1:] == (0, 0) for x in sorted(rows)[:-1])
     clean = {r.doc_id: r.text for r in line_dedup.dedup(df.where("doc_id < 2")).collect()}
-    assert all(sum(bool(SPACE.search(x)) for x in t.split("\n")) <= n_lines[k] for k, t in clean.items())
+    assert all(sum(bool(SPACE.search(x)) for x in t.split("\n")) <= want[k][0] for k, t in clean.items())
 
 
-def test_line_dedup_grows_with_length(spark):
-    """Near copies of long lines by whole words, and of short lines by one or two edits."""
+@pytest.mark.parametrize("cell", [line_dedup.CELL, 12])
+def test_line_dedup_grows_with_length(spark, monkeypatch, cell):
+    """Near copies of long lines, with edits spread evenly so that no segment but one stays whole, and large groups."""
+    monkeypatch.setattr(line_dedup, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(line_dedup, "OFTEN", 2)
     rng = random.Random(9)
     words = vocabulary(rng)
-    lines, copies = [], []
-    for n in [5, 7, 9, 12, 16, 20, 24, 40, 60] * 3:
-        own = [rng.choice(words) for _ in range(n)]
-        other = list(own)
-        for k in rng.sample(range(n), max(1, n // 20)):
-            other[k] = rng.choice(words)
-        lines.append(" ".join(own))
-        copies.append(" ".join(other))
-    for n in [12, 15, 18, 22, 26, 33, 45] * 3:
-        lines.append("".join(rng.choice("abcdef gé") for _ in range(n)))
-        copies.append(edited(rng, lines[-1], n // 10))
-    names = sorted({*lines, *copies})
-    want = {(a, b) for a, b in combinations(names, 2) if abs(len(a) - len(b)) <= max(len(a), len(b)) // 10 and distance(a, b) <= max(len(a), len(b)) // 10}
-    assert sum(distance(a, b) > 2 for a, b in want) > 10 and any(len(a) < 20 for a, _ in want)
-    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
-    _, got = line_dedup.classes(df, grow=10)
-    of = {names[r["first"]["doc_id"]]: r["class"] for r in got.collect()}
-    parent = {x: x for x in names}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in want:
-        parent[find(a)] = find(b)
-    assert len(set(of.values())) == len({find(x) for x in names})
-    assert all(of[a] == of[b] for a, b in want)
+    lines = []
+    for n in [19, 20, 40, 80, 118, 119, 120, 121, 130, 159, 160, 161, 200, 240, 300, 480]:
+        for _ in range(4):
+            own = " ".join(rng.choice(words) for _ in range(n))[:n]
+            t = int(line_dedup.edits(n))
+            lines.append(own)
+            for more in (0, 1):
+                b = list(own)
+                spots = [int((k + 0.5) * n / (t + more + 1)) for k in range(t + more)] if rng.random() < 0.7 else rng.sample(range(n), t + more)
+                for k in spots:
+                    b[k] = "#" if rng.random() < 0.8 else ""
+                lines.append("".join(b))
+    base = " ".join(rng.choice(words) for _ in range(45))[:200]
+    lines += [edited(rng, base, rng.randint(1, 4)) for _ in range(80)]
+    data = list(enumerate(lines))
+    want, links, best = plain_lines(data)
+    assert links > 100
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.class_doc_id, r.class_line_no) for r in line_dedup.groups(df).collect()}
+    assert all(got[k] == best[x] for k, x in data if SPACE.search(x))
 
 
 def test_line_groups(spark):
     """The rows name the class of each line, so planted repeats and near copies are found in the result."""
     base = "a line of several words that another document has nearly as it is"
-    data = [(1, f"{base}\n\nown line of document one"), (2, base), (3, "short\n" + base.replace("several", "seven") + "\nshort"), (4, None), (5, "short")]
+    data = [(1, f"{base}\n\nown line of document one"), (2, base), (3, "short\n" + base.replace("several", "sevral") + "\nshort"), (4, None), (5, "short")]
     data += [(k, "hot line") for k in range(10, 10 + line_dedup.HOT)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    got = line_dedup.groups(df, grow=10).collect()
+    got = line_dedup.groups(df).collect()
     assert len(got) == 8 + line_dedup.HOT
     by = {(r.doc_id, r.line_no): r for r in got}
-    assert len({by[k].class_id for k in ((1, 0), (2, 0), (3, 1))}) == 1 and by[1, 0].line_id == by[2, 0].line_id != by[3, 1].line_id
-    assert all((by[k].class_doc_id, by[k].class_line_no) == (1, 0) for k in ((1, 0), (2, 0), (3, 1)))
-    assert len({by[k].class_id for k in ((3, 0), (3, 2), (5, 0))}) == 1 and by[1, 2].class_id not in (by[1, 0].class_id, by[5, 0].class_id)
+    of = {k: (r.class_doc_id, r.class_line_no) for k, r in by.items()}
+    assert all(of[k] == (1, 0) for k in ((1, 0), (2, 0), (3, 1))) and (by[1, 0].n_times, by[3, 1].n_times) == (2, 1)
+    assert all(of[k] == (3, 0) for k in ((3, 0), (3, 2), (5, 0))) and of[1, 2] == (1, 2)
     assert [k for k in sorted(by, key=str) if by[k].kept] == [(1, 0), (1, 2), (10, 0), (3, 0)]
-    assert by[4, None].class_id is None and by[4, None].n_lines == 0
-    assert {(r.doc_id, r.n_lines, r.n_kept, r.n_near) for r in got} == {tuple(r) for r in line_dedup.report(df, grow=10).collect()}
+    assert of[4, None] == (None, None) and by[4, None].n_lines == 0
+    assert {(r.doc_id, r.n_lines, r.n_kept, r.n_near) for r in got} == {tuple(r) for r in line_dedup.report(df).collect()}
 
 
 def test_quality_stage_trains_as_the_operator(spark, monkeypatch):
