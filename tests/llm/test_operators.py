@@ -362,7 +362,13 @@ def test_edit_distance():
     for _ in range(1500):
         a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 14)))
         b = edited(rng, a, rng.randint(0, 4))
-        assert line_dedup.within(a, b, 2) == (distance(a, b) <= 2)
+        for t in (1, 2, 3, 5, 9):
+            assert line_dedup.within(a, b, t) == line_dedup.within(b, a, t) == (distance(a, b) <= t)
+    for _ in range(150):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(20, 90)))
+        b = edited(rng, a, rng.randint(0, 12)) if rng.random() < 0.8 else "".join(rng.choice("abé") for _ in range(len(a)))
+        for t in (1, 4, 8, 12):
+            assert line_dedup.within(a, b, t) == (distance(a, b) <= t)
 
 
 def plain_lines(data):
@@ -560,11 +566,60 @@ def test_trigram_queries():
 def test_targets_and_flow():
     t = mixing.targets({"a": 10, "b": 100, "c": 1000}, {"a": 1, "b": 2, "c": 3})
     assert t["a"] == 30 and t["b"] == 300 and math.isclose(sum(t.values()), 1110)
-    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 10}, {"a": 15.0, "b": 15.0})
+    flow = mixing.route({("a",): (10, {"a": 10}), ("a", "b"): (10, {"a": 10, "b": 10}), ("b",): (10, {"b": 10})}, {"a": 15.0, "b": 15.0})
     assert math.isclose(flow["a",]["a"] + flow["a", "b"]["a"], 15) and math.isclose(flow["b",]["b"] + flow["a", "b"]["b"], 15)
     assert sum(flow["a", "b"].values()) <= 10  # no repetition while first uses are left
 
 
+def test_flow_is_cheapest():
+    """Against every integer flow of small networks."""
+    rng = random.Random(1)
+    for _ in range(20):
+        a, b, ab = (rng.randint(0, 3) for _ in range(3))
+        copies = (rng.randint(1, 2), rng.randint(1, 2))
+        patterns = {("a",): (a, {"a": a}), ("b",): (b, {"b": b}), ("a", "b"): (ab, {"a": ab * copies[0], "b": ab * copies[1]})}
+        quota = {"a": float(rng.randint(0, 8)), "b": float(rng.randint(0, 8))}
+
+        def cost(once, n):
+            return sum((lambda u: u * u if u < 4 else 4 ** 2 if u < 8 else 8 ** 2 if u < 16 else 16 ** 2)(k // once) for k in range(n)) if n else 0
+
+        best = None
+        for fa in range(3 * a + 1):
+            for fb in range(3 * b + 1):
+                for x in range(3 * ab * copies[0] + 1):
+                    for y in range(3 * ab * copies[1] + 1):
+                        if fa + x <= quota["a"] and fb + y <= quota["b"]:
+                            key = (-(fa + fb + x + y), cost(a, fa) + cost(b, fb) + cost(ab, x + y))
+                            best = key if best is None else min(best, key)
+        got = mixing.route(patterns, quota)
+        f = {k: sum(v.values()) for k, v in got.items()}
+        assert math.isclose(-best[0], sum(f.values()), abs_tol=1e-6)
+        assert math.isclose(best[1], cost(a, round(f["a",])) + cost(b, round(f["b",])) + cost(ab, round(f["a", "b"])), abs_tol=1e-6)
+
+
+def test_mixing_shared_texts(spark, monkeypatch):
+    """A text that two sources have is used once before either of them repeats it; cuts are narrowed to few rows."""
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    monkeypatch.setattr(mixing, "CUT_ROWS", 5)
+    rows = [(k, f"own {k} of a", "en", "a", 0) for k in range(100)] + [(100 + k, f"both {k % 100} of ab", "en", "ab"[k // 100], 0) for k in range(200)] + [(300 + k, f"own {k} of b", "en", "b", 0) for k in range(100)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in mixing.mix(d, {"a": 3, "b": 3}).collect()}
+    # 1,600 words, 800 for each source: 400 own ones, the other 400 from the 400 shared ones that each could use
+    taken = Counter()
+    for k, r in got.items():
+        taken["own" if k < 100 or k >= 300 else "shared"] += r.taken
+        assert r.target == 800.0
+    per = Counter()
+    for r in got.values():
+        per[r.source] += r.taken
+    assert abs(per["a"] - 800) <= 4 and abs(per["b"] - 800) <= 4
+    # first uses give 1,200 words, the other 400 are second uses of any: neither side is left out
+    assert 800 - 8 <= taken["own"] <= 1200 + 8 and 400 - 8 <= taken["shared"] <= 800 + 8
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(d.repartition(5), {"a": 3, "b": 3}).collect()) == sorted((k, r.taken) for k, r in got.items())
+    copies = Counter(r.doc_id for r in mixing.mixed(d.withColumn("pattern", F.lit(1)).withColumn("repeats", F.lit(2)), weights={"a": 3, "b": 3}).collect())
+    assert copies == Counter({k: r.repeats for k, r in got.items() if r.repeats})
+
+
 def test_mixing_source_at_its_limit(spark):
     """A source whose share is above three times its size is taken three times; the others share the rest."""
     d = spark.createDataFrame([(k, "a b c d", "en", "big" if k else "small", 7) for k in range(101)], DOCS)

@@ -40,4 +40,5 @@ def test_run(spark):
 def test_query_covers_table(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     docs = read(spark, DATA, "documents")
-    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    ids = got.select("doc_id").distinct() if name == "op5_line_dedup" else got.select("doc_id")  # rows of that query are lines
+    assert sorted(r.doc_id for r in ids.collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
