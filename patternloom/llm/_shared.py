@@ -56,6 +56,19 @@ def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def give_way(docs: DataFrame, results: tuple[str, ...]) -> DataFrame:
+    """docs whose columns named like results have the prefix ``document_`` (again, while that name is taken too)."""
+    names, taken = {}, {*docs.columns, *results}
+    for c in docs.columns:
+        if c in results:
+            new = f"document_{c}"
+            while new in taken:
+                new = f"document_{new}"
+            taken.add(new)
+            names[c] = new
+    return docs.withColumnsRenamed(names) if names else docs
+
+
 #: bytes of text in a batch that a Python worker gets: long texts come few at a time
 BATCH_BYTES = 8 << 20
 
@@ -70,10 +83,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, trains: Column, limit: int, seed: int = 0, columns: tuple = ("doc_id", "text")) -> DataFrame:
-    """Rows of docs with a label, at most ``limit`` labels, chosen by a seeded hash of doc_id.
+    """One row of docs for each label, at most ``limit``, chosen by a seeded hash of doc_id.
 
-    A doc_id labelled both ways, or null, is left out.  The sample has at most
-    ``limit`` narrow rows, so it is broadcast; documents are not shuffled.
+    A doc_id labelled both ways, or null, is left out; of rows that repeat a
+    doc_id the smallest counts.  The labels are at most ``limit`` narrow rows,
+    so they are broadcast; documents without one are not shuffled.
     """
     picked = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & trains)
@@ -84,7 +98,9 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, trains: Column, li
         .orderBy(F.xxhash64("label_id", F.lit(seed)), "label_id")
         .limit(limit)
     )
-    return docs.select(*columns).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).drop("label_id")
+    rows = docs.select(*columns).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    rest = [c for c in columns if c != "doc_id"]
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", *[F.col(f"_row.`{c}`") for c in rest], "label")
 
 
 # ---------------------------------------------------------------- bloom filters

@@ -5,27 +5,33 @@ and cut into windows of ``size`` words; a shorter item is one window.  One
 automaton over all windows, as sequences of word numbers, scans each text
 once; hits are mapped back to the words' own offsets.
 
-The automaton goes to every task, so its input is checked: items of more than
-``block_chars`` characters together are taken in blocks, one automaton and one scan
-each, and the hits of the blocks are joined per document; no item is left out.
+The automaton goes to every task, so its input is bounded: items go in blocks of
+``block_chars`` characters, one automaton and one pass each, built once for
+each Python worker.  Up to one block the hits are final; beyond it the texts are held under row
+numbers, each block leaves its hits as narrow rows, and a last step unites them
+for each document; no item is left out.
 
 Nulls and texts without words are clean; items without words, or null, have no
-window.  Equal items all count.  Tables may have further columns.
+window.  An item without an item_id marks words but isn't counted or named.
+Equal items all count.  Rows that repeat a doc_id are scanned each; an empty
+table gives an empty result, an empty benchmark no hits.  Columns of docs named
+like results are kept with the prefix ``document_``.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import give_way, map_batches, spill
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
-HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(_UPPER)) if text else []
@@ -35,14 +41,17 @@ class Scanner:
     """The automaton over (item_id, text) pairs."""
 
     def __init__(self, items: list[tuple], size: int = 10):
-        import ahocorasick
+        try:
+            import ahocorasick
+        except ImportError as e:
+            raise ImportError("decontamination needs the package pyahocorasick where Python workers run") from e
 
         self.number: dict[str, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ws = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             for k in range(max(1, len(ws) - size + 1) if ws else 0):
-                owners.setdefault(tuple(ws[k : k + size]), set()).add(str(item))
+                owners.setdefault(tuple(ws[k : k + size]), set()).update([str(item)] if item is not None else [])
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, ids in owners.items():
             self.tree.add_word(window, (len(window), tuple(ids)))
@@ -78,42 +87,81 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
     yield out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 8_000_000) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted) and spans (hit passages, code points, end exclusive)."""
-    columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + HITS
-    parts = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark, block_chars)]
+_held: dict[str, Scanner] = {}  # of this Python worker: the automaton in use
+
+
+def _scanner(key: str, block, size: int) -> Scanner:
+    if key not in _held:
+        _held.clear()
+        _held[key] = Scanner(block.value, size)
+    return _held[key]
+
+
+_SPAN = "array<struct<start:long,end:long>>"
+
+
+def _hits(docs: DataFrame, block, size: int, text: str, only: bool) -> DataFrame:
+    """docs with n_words, runs of hit words, items and spans; without the text, and only documents with hits, if ``only``."""
+    columns, key = docs.columns, uuid.uuid4().hex
+    rest = [c for c in columns if not (only and c == text)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest) + f", n_words long, runs {_SPAN}, items array<string>, spans {_SPAN}"
 
     def run(batches):
         import pyarrow as pa
 
-        one = Scanner(parts[0].value, size) if len(parts) == 1 else None
+        scanner = _scanner(key, block, size)
+        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column(columns.index("text"))
-            hits = [([], set()) for _ in range(batch.num_rows)]
-            counts = [0] * batch.num_rows
-            for part in parts:
-                scanner = one or Scanner(part.value, size)
-                for i in range(batch.num_rows):
-                    ws = words(texts[i].as_py())
-                    counts[i] = len(ws)
-                    runs, found = scanner.scan(ws)
-                    if found:
-                        hits[i] = (_merged(hits[i][0] + runs), hits[i][1] | found)
-            n_hit, items, spans = [], [], []
-            for i, (runs, found) in enumerate(hits):
-                n_hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(found))
-                spans.append([])
-                if runs:
-                    at = [m.span() for m in WORD.finditer(texts[i].as_py().translate(_UPPER))]
-                    spans[-1] = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[*columns, "n_words", "n_hit", "items", "spans"],
-            )
-
-    return docs.mapInArrow(run, schema)
+            texts = batch.column(columns.index(text))
+            counts, runs, items, spans = [], [], [], []
+            for t in texts:
+                t = t.as_py()
+                ws = words(t)
+                found, ids = scanner.scan(ws)
+                found = _merged(found)
+                counts.append(len(ws))
+                items.append(sorted(ids))
+                runs.append([{"start": a, "end": b} for a, b in found])
+                at = [m.span() for m in WORD.finditer(t.translate(_UPPER))] if found else []
+                spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in found])
+            out = pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in rest), pa.array(counts, pa.int64()), pa.array(runs, pairs), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)], names=[*rest, "n_words", "runs", "items", "spans"])
+            yield out.filter(pa.array([bool(x) for x in runs], pa.bool_())) if only else out
+
+    return map_batches(docs, run, schema)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_chars: int = 2_000_000, text: str = "text") -> DataFrame:
+    """docs with n_words, n_hit, items (sorted) and spans (hit passages, code points, end exclusive)."""
+    docs = give_way(docs, ("n_words", "n_hit", "items", "spans", "runs"))
+    columns, context = docs.columns, docs.sparkSession.sparkContext
+    parts = blocks(benchmark, block_chars)
+    first, second = next(parts), next(parts, None)
+    length = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    if second is None:
+        return _hits(docs, context.broadcast(first), size, text, False).select(*columns, "n_words", length.alias("n_hit"), "items", "spans")
+    held = spill(docs.withColumn("_rid", F.monotonically_increasing_id()), "texts")
+    every = None
+    for block in (x for some in ([first, second], parts) for x in some):
+        shared = context.broadcast(block)
+        found = spill(_hits(held.select("_rid", text), shared, size, text, True), "hits")
+        every = found if every is None else every.unionByName(found)
+        shared.unpersist()
+    # pieces of a document are united: a piece starts a run unless it meets what came before
+    per = every.groupBy("_rid").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("runs", "spans")))).alias("p"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = "cast(array() as array<struct<runs:struct<start:long,end:long>,spans:struct<start:long,end:long>>>)"
+    united = F.expr(
+        f"""aggregate(p, {none}, (done, x) -> if(size(done) > 0 and element_at(done, -1).runs.end >= x.runs.start,
+            concat(slice(done, 1, size(done) - 1), array(named_struct(
+                'runs', named_struct('start', element_at(done, -1).runs.start, 'end', greatest(element_at(done, -1).runs.end, x.runs.end)),
+                'spans', named_struct('start', element_at(done, -1).spans.start, 'end', greatest(element_at(done, -1).spans.end, x.spans.end))))),
+            concat(done, array(x))))"""
+    )
+    per = per.withColumn("u", united).select(F.col("_rid").alias("_r"), F.col("u.runs").alias("runs"), F.col("u.spans").alias("spans"), "items")
+    out = held.join(per, F.col("_rid") == F.col("_r"), "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    out = out.select(*columns, empty("items", "array<string>"), empty("spans", _SPAN), empty("runs", _SPAN))
+    n_words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
+    return out.select(*columns, n_words.alias("n_words"), length.alias("n_hit"), "items", "spans")
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

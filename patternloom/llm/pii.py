@@ -18,7 +18,9 @@ Patterns use possessive loops and start at run borders, which keeps them
 linear in very long words without changing what they match.
 
 A null text is empty and has no span.  Rows that repeat a doc_id are told
-apart by a row number held in the shared folder.
+apart by a row number held in the shared folder.  Spans that start together are
+in the order of kinds.  An empty table gives an empty result.  Only doc_id and
+text are read, so further columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -146,8 +148,15 @@ def _votes() -> list[Column]:
         .when(k == 2, yes(m.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{3,6}(?:\1[0-9]{3,6})+)$")))
         .otherwise(yes(m.rlike(r"[ ().-]") & ~m.rlike(r"[ .-]{2,}")))
     )
+    # the regular expressions' own check: a base match has passed it, an added one must have a regular shape
+    strict = (
+        F.when(k == 0, m.rlike(r"(?i)^[a-z0-9][a-z0-9._%+-]*\x20?(?:[\[({]\x20?at\x20?[\])}]|at)\x20?[a-z0-9-]+(?:\x20?(?:[\[({]\x20?dot\x20?[\])}]|dot)\x20?[a-z0-9-]+)*\x20?(?:[\[({]\x20?dot\x20?[\])}]|dot)\x20?[a-z]{2,}$"))
+        .when(k == 1, m.rlike(r"^[23][0-9A-Fa-f]{3}:|^[Ff][CcDdEe]"))
+        .when(k == 2, m.rlike(r"^[0-9]{13}$|^[0-9]{4}([ -])[0-9]{3}\1[0-9]{3}\1[0-9]{3}$"))
+        .otherwise(m.rlike(r"^(?:00[1-9][0-9]{0,2}[ .-])?(?:\([2-9][0-9]{2}\)[ .-]|[2-9][0-9]{2}([ .-]))[2-9][0-9]{2}[ .-][0-9]{4}$"))
+    )
     return [
-        F.when(F.col("base"), 1).otherwise(0).alias("v1"),
+        F.when(F.col("base"), 1).otherwise(yes(strict)).alias("v1"),
         gazetteer.alias("v2"),
         F.when(glued, -1).when(named, 1).otherwise(0).alias("v3"),
         form.alias("v4"),

@@ -9,6 +9,10 @@ Training takes at most ``limit`` labelled rows and ``pairs`` pairs per fit, a
 documented bound; scoring is a Spark expression over statistics of every
 whole text.  An empty or null text has the statistics of no words and gets a
 score like any other.  Without labelled rows of both kinds every score is 0.5.
+Of cuts that separate equally well the middle is taken; rows that repeat are
+scored each (for training the smallest counts); an empty table gives an empty
+result.  Further columns, whatever their names, don't matter and are kept by
+``keep_good``.
 """
 
 from __future__ import annotations
@@ -107,5 +111,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, limit: int =
     """docs without those that score below the cut; columns as they are."""
     sample = labelled(docs, labels, "quality", _trains(), limit, seed).drop("label")
     model = train(with_stats(sample).drop("text"), labels, cut, limit, seed)
-    scored = with_stats(docs, prefix="_q_")
-    return scored.where(model.column("_q_") >= cut).select(*docs.columns)
+    names = {c: f"_loom_d{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    scored = with_stats(docs.withColumnsRenamed(names), prefix="_q_")
+    return scored.where(model.column("_q_") >= cut).select(*[names.get(c, c) for c in docs.columns]).withColumnsRenamed({v: k for k, v in names.items()})

@@ -10,7 +10,10 @@ Statistics come from one pass over whole texts and are held as narrow rows;
 the learner sees at most ``limit`` labelled rows (a documented bound).  Nulls
 and empty texts count as no words, so they fail the base rule.  Without
 labels, or without labelled rows to reject, the list is empty and only the
-base rule decides.
+base rule decides.  Ties between thresholds go to the first in the order of
+statistics; rows that repeat are judged each (for training the smallest counts);
+an empty table gives an empty result.  Only doc_id and text are read, so
+further columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ only candidates are verified by the regular expression.  A rule whose query
 has no mandatory trigram (``hex``) scans fully.
 
 The index of a block lives as long as the block, so nothing is shuffled and
-memory follows the block.  A null text is empty and has no span.
+memory follows the block.  A null text is empty and has no span.  Spans that
+start together are in the order of kinds; rows that repeat are scanned each; an
+empty table gives an empty result.  A column of docs named ``secrets`` is kept
+as ``document_secrets``.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._shared import give_way, map_batches
 
 
 @dataclass(frozen=True)
@@ -200,6 +204,7 @@ SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text") -> DataFrame:
     """docs with ``secrets``: spans (code points, end exclusive) by start, then kind as listed."""
+    docs = give_way(docs, ("secrets",))
     columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", secrets {SPANS}"
 
@@ -236,7 +241,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "te
                     spans[r] = [{"kind": rules[k].kind, "start": a, "end": b, "base": rules[k].base} for a, k, b in sorted(found)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*columns, "secrets"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -429,7 +429,7 @@ def test_line_dedup_grows_with_length(spark, monkeypatch, cell):
     """Near copies of long lines, with edits spread evenly so that no segment but one stays whole, and large groups."""
     monkeypatch.setattr(line_dedup, "CELL", cell)
     monkeypatch.setattr(ngram_join, "CELL", cell)
-    monkeypatch.setattr(line_dedup, "OFTEN", 2)
+    monkeypatch.setattr(line_dedup, "BATCH", 1 if cell == 12 else line_dedup.BATCH)  # all keys are often
     rng = random.Random(9)
     words = vocabulary(rng)
     lines = []
@@ -652,7 +652,7 @@ def test_mixing(docs, texts):
 
 
 def test_sharding(docs, texts):
-    for options in ({}, {"ranges": 8, "sample": 50}):
+    for options in ({}, {"ranges": 8, "oversample": 6}):
         got = sharding.assign(docs, 4, **options).collect()
         assert len(got) == docs.count()
         slots = defaultdict(list)
@@ -672,6 +672,42 @@ def test_sharding_is_even(spark):
     assert len(per) == 16 and max(per.values()) < 1.1 * min(per.values())
 
 
+@pytest.mark.parametrize("ids", ["repeated", "null"])
+def test_sharding_of_rows_alike(spark, ids):
+    """Rows that no key tells apart are near equal too, and columns named like results or like the work's own stay."""
+    k = F.lit(7).cast("long") if ids == "repeated" else F.lit(None).cast("long")
+    rows = spark.range(1600).select(k.alias("doc_id"), F.lit("one text").alias("text")).unionByName(spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")))
+    names = ["size", "slot", "_range", "_sub", "_key", "_row", "_r", "_from", "_before", "_at"]
+    df = rows.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    got = sharding.assign(df, keep=df.columns)
+    assert {"document_size", "document_slot"} <= set(got.columns)
+    slots, size = defaultdict(list), Counter()
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r["size"]
+        assert (r.document_size, r.document_slot) == (0, 1) and all(r[c] == i for i, c in enumerate(names) if i > 1)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len(size) == 16 and max(size.values()) - min(size.values()) <= 40
+
+
+def test_clashing_columns(spark):
+    """Columns named like results or like an operator's own are kept, or don't matter."""
+    names = ["n_words", "n_hit", "items", "spans", "runs", "score", "evidence", "passages", "secrets", "label", "label_id", "_q_n_words", "_row", "found", "rid", "kind", "base", "pattern", "repeats"]
+    rows = [(1, "mail a@b.org password=secret12 and some more words for a window of ten here"), (2, None), (3, ""), (1, "again")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    df = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "some more words for a window of ten here"), (None, "password")], "item_id long, text string")
+    for made in (pii.report, secret_scan.report, line_dedup.report, lambda d: decontaminate.report(d, bench), lambda d: toxicity.report(d, lab), lambda d: quality_rules.apply(d, lab)[0], lambda d: quality_classifier.score(d, lab)[0]):
+        assert sorted(map(str, made(df).collect())) == sorted(map(str, made(plain).collect()))
+    for out in (secret_scan.find(df), decontaminate.scan(df, bench), toxicity.score(df, toxicity.fit(df, lab))):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == 4
+    hit = {(r.doc_id, r.n_hit): r.n_items for r in decontaminate.report(df, bench).collect()}
+    assert hit == {(1, 10): 1, (2, 0): 0, (3, 0): 0, (1, 0): 0}
+    for left in (decontaminate.clean(df, bench), quality_classifier.keep_good(df, lab)):
+        assert left.columns == df.columns and all(r[c] == k for r in left.collect() for k, c in enumerate(names))
+
+
 # ---------------------------------------------------------------- empty tables
 
 
