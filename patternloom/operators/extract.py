@@ -169,7 +169,7 @@ def passage_pairs(docs: DataFrame, extractor: Callable[[DataFrame], DataFrame],
     """
     w = passages(docs, size, increment).select(F.concat_ws(PIPE, "docid", F.col("passage").cast("string")).alias("docid"), "sentences")
     w = w.withColumn("tokens", F.flatten(F.transform("sentences", whitespace_tokens)))
-    return extractor(w).select(F.substring_index("docid", PIPE, 1).alias("docid"), F.col("docid").alias("context"), "pattern")
+    return extractor(w).select(F.regexp_replace("docid", r"\|[0-9]+$", "").alias("docid"), F.col("docid").alias("context"), "pattern")
 
 
 def multi_pairs(docs: DataFrame, *extractors: Callable[[DataFrame], DataFrame]) -> DataFrame:

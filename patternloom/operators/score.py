@@ -122,11 +122,11 @@ def update_weights(stats: DataFrame, scores: DataFrame, side: str) -> DataFrame:
     return stats.drop("weight").join(scores.select("id", side, F.col("score").alias("weight")), ["id", side]).select("id", "context", "pattern", "matches", "global_pattern_count", "global_context_count", "weight")
 
 
-def top_results(scores: DataFrame, k: int, fields: tuple[str, ...] = ("context", "pattern")) -> DataFrame:
-    """Of each id the k highest sums of scores of a key; ties by the key."""
-    summed = scores.groupBy("id", *fields).agg(F.sum("score").alias("score"))
+def top_results(scores: DataFrame, k: int, fields: tuple[str, ...] = ("context", "pattern"), summed: bool = False) -> DataFrame:
+    """Of each id the k highest sums of scores of a key; ties by the key.  ``summed``: keys are distinct already."""
+    rows = scores.select("id", *fields, "score") if summed else scores.groupBy("id", *fields).agg(F.sum("score").alias("score"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), *fields)
-    return summed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
 def combine_scores(rows: DataFrame, score_column: str = "score") -> DataFrame:

@@ -1,8 +1,12 @@
-"""Match statistics of seeds against pairs; one side's field is dropped as NULL, never marked by a string."""
+"""Match statistics of seeds against pairs; one side's field is dropped as NULL, never marked by a string.
+
+Pairs are rows (docid, context, pattern), or counted ones (context, pattern, matches) from ``counted``; a plan that
+uses them several times counts once and reads the counts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: a seed table up to this many rows is broadcast; a larger one is joined by shuffle
@@ -25,6 +29,17 @@ def project(rows: DataFrame, key: str = "pattern+context") -> DataFrame:
     return rows.groupBy("id", *fields).agg(F.sum("weight").alias("weight"))
 
 
+def counted(pairs: DataFrame) -> DataFrame:
+    """(context, pattern, matches) of pairs; counted ones stay as they are."""
+    if "matches" in pairs.columns:
+        return pairs
+    return pairs.groupBy("context", "pattern").agg(F.count("*").alias("matches"))
+
+
+def _times(pairs: DataFrame) -> Column:
+    return F.sum("matches") if "matches" in pairs.columns else F.count("*")
+
+
 def extract(pairs: DataFrame, seeds: DataFrame, side: str = "context", min_matches: int = 1, keep_unmatched: bool = False) -> DataFrame:
     """Matches of seeds (id, side, weight) in pairs, one row for each (id, context, pattern).
 
@@ -32,28 +47,32 @@ def extract(pairs: DataFrame, seeds: DataFrame, side: str = "context", min_match
     also of those under min_matches.  keep_unmatched gives seeds without a
     match a row with 0 matches.
     """
-    far = other(side)
-    seeds = seeds.select("id", side, "weight")
+    far, own = other(side), f"global_{side}_count"
+    seeds = seeds.groupBy("id", side).agg(F.max("weight").alias("weight"))
     # counting before the join shrinks what is shuffled
-    counted = pairs.groupBy("context", "pattern").agg(F.count("*").alias("matches"))
-    rows = counted.join(seeds, side).groupBy("id", "context", "pattern").agg(F.max("matches").alias("matches"), F.max("weight").alias("weight"))
-    rows = rows.withColumn(f"global_{side}_count", F.sum("matches").over(Window.partitionBy("id", side)))
-    rows = rows.where(F.col("matches") >= min_matches)
+    counts = counted(pairs)
+    # a seed's own count doesn't depend on the id: an aggregate with partial sums, so a frequent seed loads no task
+    sums = counts.join(seeds.select(side).distinct(), side, "left_semi").groupBy(side).agg(F.sum("matches").alias(own))
+    seeds = seeds.join(sums, side, "left")
+    rows = counts.join(seeds, side, "right" if keep_unmatched else "inner")
+    rows = rows.where((F.col("matches") >= min_matches) | F.col("matches").isNull()) if keep_unmatched else rows.where(F.col("matches") >= min_matches)
     if keep_unmatched:
-        rows = seeds.groupBy("id", side).agg(F.max("weight").alias("seed_weight")).join(rows, ["id", side], "left")
-        rows = rows.withColumns({"matches": F.coalesce("matches", F.lit(0)), f"global_{side}_count": F.coalesce(f"global_{side}_count", F.lit(0)), "weight": F.coalesce("weight", "seed_weight")})
+        # a seed all of whose matches are too few has no match either
+        none = seeds.join(rows.select("id", side).distinct(), ["id", side], "left_anti").withColumns({far: F.lit(None).cast("string"), "matches": F.lit(0).cast("long")})
+        rows = rows.unionByName(none.select(*rows.columns))
+        rows = rows.withColumns({"matches": F.coalesce("matches", F.lit(0).cast("long")), own: F.coalesce(own, F.lit(0).cast("long"))})
     return rows.select("id", "context", "pattern", "matches", F.lit(0).cast("long").alias(f"global_{far}_count"), f"global_{side}_count", "weight")
 
 
 def global_counts(pairs: DataFrame, examples: DataFrame, side: str) -> DataFrame:
     """(side, count): how often each value of the examples occurs in all pairs."""
     wanted = examples.select(side).where(F.col(side).isNotNull()).distinct()
-    return pairs.join(wanted, side, "left_semi").groupBy(side).agg(F.count("*").alias("count"))
+    return pairs.join(wanted, side, "left_semi").groupBy(side).agg(_times(pairs).alias("count"))
 
 
 def total_pairs(pairs: DataFrame) -> DataFrame:
     """One row: the number of pairs."""
-    return pairs.agg(F.count("*").alias("total"))
+    return pairs.agg(F.coalesce(_times(pairs), F.lit(0).cast("long")).alias("total"))
 
 
 def combine(*parts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ patterns), so every query runs over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import collections as coll
@@ -48,13 +48,23 @@ def _ngrams(tk: str, n: int) -> str:
 
 
 def _seed_sql(side: str, k: int) -> str:
-    return f"seeds AS (SELECT '1' AS id, {side}, CAST(n AS DOUBLE) AS weight FROM (SELECT {side}, count(*) AS n FROM pairs GROUP BY {side} ORDER BY n DESC, {side} LIMIT {k}))"
+    return f"""ranked AS (SELECT {side}, n, row_number() OVER (ORDER BY n DESC, {side}) AS r FROM (SELECT {side}, count(*) AS n FROM pairs GROUP BY {side}) ORDER BY r LIMIT {k + 10}),
+      seeds AS (SELECT '1' AS id, {side}, CAST(n AS DOUBLE) AS weight FROM ranked WHERE r <= {k} UNION ALL SELECT '2', {side}, n / 2.0::DOUBLE FROM ranked WHERE r > 10)"""
 
 
 def _seeds(pairs: DataFrame, side: str, k: int) -> DataFrame:
-    """The k most frequent values of a side, weighted by frequency."""
-    top = pairs.groupBy(side).agg(F.count("*").alias("n")).orderBy(F.desc("n"), side).limit(k)
-    return top.select(F.lit("1").alias("id"), side, F.col("n").cast("double").alias("weight"))
+    """Seeds of two ids: the k most frequent values of a side, weighted by frequency; those from the eleventh to ten
+    after the last, with half the weight."""
+    top = pairs.groupBy(side).agg(F.sum("matches").alias("n")).orderBy(F.desc("n"), side).limit(k + 10)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), side))  # of k + 10 rows
+    top = walks.settle(top.withColumn("r", place), "seeds")
+    weight = F.col("n").cast("double")
+    return top.where(F.col("r") <= k).select(F.lit("1").alias("id"), side, weight.alias("weight")).unionByName(top.where("r > 10").select(F.lit("2").alias("id"), side, (weight / 2).alias("weight")))
+
+
+def _counted(spark, d) -> DataFrame:
+    """All pairs, counted once for all steps of a query."""
+    return walks.settled(_pairs(spark, d))
 
 
 _SEEDS = 50
@@ -80,12 +90,12 @@ _P2C = f"WITH {_PAIRS}, {_seed_sql('pattern', _SEEDS)}, {_hop_sql('pc', 'seeds',
 
 
 def _c2p(spark, d, k: int = _SEEDS):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return pairs, walks.context_to_pattern(pairs, _seeds(pairs, "context", k))
 
 
 def _p2c(spark, d, k: int = _SEEDS):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return pairs, walks.pattern_to_context(pairs, _seeds(pairs, "pattern", k))
 
 
@@ -290,19 +300,19 @@ def pattern_to_context(spark, d):
 
 @query("context_to_context", f"{_C2P}, {_project_sql('s2', 'cp', 'pattern')}, {_hop_sql('h2', 's2', 'pattern')} SELECT {_STATS_COLUMNS} FROM h2")
 def context_to_context(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return _stats_out(walks.context_to_context(pairs, _seeds(pairs, "context", _SEEDS))[1])
 
 
 @query("pattern_to_pattern", f"{_P2C}, {_project_sql('s2', 'pc', 'context')}, {_hop_sql('h2', 's2', 'context')} SELECT {_STATS_COLUMNS} FROM h2")
 def pattern_to_pattern(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return _stats_out(walks.pattern_to_pattern(pairs, _seeds(pairs, "pattern", _SEEDS))[1])
 
 
 @query("extract_min_matches", f"WITH {_PAIRS}, {_seed_sql('context', _SEEDS)}, m AS (SELECT s.id, p.context, p.pattern, count(*) AS matches, sum(count(*)) OVER (PARTITION BY s.id, p.context) AS g FROM pairs p JOIN seeds s ON p.context = s.context GROUP BY s.id, p.context, p.pattern) SELECT id, context, pattern, CAST(matches AS BIGINT) AS matches, CAST(g AS BIGINT) AS global_context_count FROM m WHERE matches >= 2")
 def extract_min_matches(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return st.extract(pairs, _seeds(pairs, "context", _SEEDS), "context", 2).select("id", "context", "pattern", "matches", "global_context_count")
 
 
@@ -335,7 +345,7 @@ def combine_splits(spark, d):
 def _score_query(name: str, side: str) -> None:
     base, stats = (_C2P, "cp") if side == "pattern" else (_P2C, "pc")
 
-    @query(f"score_{name}_{side}", f"{base}, {_score_sql(name, stats, 'o', side)} SELECT id, {side}, round(score, 6) AS score FROM o")
+    @query(f"score_{name}_{side}", f"{base}, {_score_sql(name, stats, 'o', side)} SELECT id, {side}, CASE WHEN round(score, 6) = 0 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score FROM o")
     def run(spark, d):
         pairs, s = (_c2p if side == "pattern" else _p2c)(spark, d)
         kind, args, *_ = _SCORERS[name]
@@ -347,7 +357,7 @@ for _name in _SCORERS:
         _score_query(_name, _side)
 
 
-@query("update_weights", f"{_C2P}, {_score_sql('pmi', 'cp', 'o', 'pattern')} SELECT cp.id, context, pattern, matches, global_pattern_count, global_context_count, round(o.score, 6) AS weight FROM cp JOIN o USING (pattern)")
+@query("update_weights", f"{_C2P}, {_score_sql('pmi', 'cp', 'o', 'pattern')} SELECT cp.id, context, pattern, matches, global_pattern_count, global_context_count, round(o.score, 6) AS weight FROM cp JOIN o USING (id, pattern)")
 def update_weights(spark, d):
     pairs, s = _c2p(spark, d)
     return _stats_out(sc.update_weights(s, sc.score(s, sc.pmi(), "pattern", st.total_pairs(pairs)), "pattern"))
@@ -367,9 +377,9 @@ def combine_scores(spark, d):
 _CC = f"{_C2P}, {_project_sql('s2', 'cp', 'pattern')}, {_hop_sql('h2', 's2', 'pattern')}"
 
 
-@query("compute_context_scores", f"{_CC}, {_score_sql('likelihood', 'cp', 'ps', 'pattern')}, u AS (SELECT h2.id, h2.context, h2.pattern, h2.matches, h2.global_pattern_count, h2.global_context_count, ps.score AS weight FROM h2 JOIN ps USING (pattern)), {_score_sql('likelihood', 'u', 'o', 'context')} SELECT id, context, round(score, 6) AS score FROM o")
+@query("compute_context_scores", f"{_CC}, {_score_sql('likelihood', 'cp', 'ps', 'pattern')}, u AS (SELECT h2.id, h2.context, h2.pattern, h2.matches, h2.global_pattern_count, h2.global_context_count, ps.score AS weight FROM h2 JOIN ps USING (id, pattern)), {_score_sql('likelihood', 'u', 'o', 'context')} SELECT id, context, round(score, 6) AS score FROM o")
 def compute_context_scores(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     first, second = walks.context_to_context(pairs, _seeds(pairs, "context", _SEEDS))
     return _round(walks.context_scores(second, sc.likelihood(), None, first, sc.likelihood()))
 
@@ -377,9 +387,9 @@ def compute_context_scores(spark, d):
 _PP = f"{_P2C}, {_project_sql('s2', 'pc', 'context')}, {_hop_sql('h2', 's2', 'context')}"
 
 
-@query("compute_pattern_scores", f"{_PP}, {_score_sql('likelihood', 'pc', 'cs', 'context')}, u AS (SELECT h2.id, h2.context, h2.pattern, h2.matches, h2.global_pattern_count, h2.global_context_count, cs.score AS weight FROM h2 JOIN cs USING (context)), {_score_sql('likelihood', 'u', 'o', 'pattern')} SELECT id, pattern, round(score, 6) AS score FROM o")
+@query("compute_pattern_scores", f"{_PP}, {_score_sql('likelihood', 'pc', 'cs', 'context')}, u AS (SELECT h2.id, h2.context, h2.pattern, h2.matches, h2.global_pattern_count, h2.global_context_count, cs.score AS weight FROM h2 JOIN cs USING (id, context)), {_score_sql('likelihood', 'u', 'o', 'pattern')} SELECT id, pattern, round(score, 6) AS score FROM o")
 def compute_pattern_scores(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     first, second = walks.pattern_to_pattern(pairs, _seeds(pairs, "pattern", _SEEDS))
     return _round(walks.pattern_scores(second, sc.likelihood(), None, first, sc.likelihood()))
 
@@ -394,8 +404,7 @@ def compute_pattern_scores(spark, d):
     SELECT id, pattern, score FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pattern) <= 5""",
 )
 def paraphrases(spark, d):
-    every = mine.paraphrases(_pairs(spark, d), 1 << 30)  # ranked after rounding, as the SQL does
-    return sc.top_results(_round(every), 5, ("pattern",))
+    return mine.paraphrases(_pairs(spark, d), 5, places=6)
 
 
 _REGEXES = ["[0-9]{3}", "^The ", "(?i)apache license", r"@[a-z0-9]+\.example"]
@@ -416,19 +425,34 @@ def _espresso_sql(target: str) -> str:
 
 @query("espresso_contexts", _espresso_sql("context"))
 def espresso_contexts(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return _round(walks.bootstrap(pairs, _seeds(pairs, "context", _SEEDS), sc.likelihood(), 100, "context"))
 
 
 @query("espresso_patterns", _espresso_sql("pattern"))
 def espresso_patterns(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return _round(walks.bootstrap(pairs, _seeds(pairs, "pattern", _SEEDS), sc.likelihood(), 100, "pattern"))
 
 
-@query("espresso_contexts_two_rounds")
+def _espresso_rounds_sql(target: str, keep: int, rounds: int) -> str:
+    far, parts, seeds = st.other(target), [f"WITH {_PAIRS}, {_seed_sql(target, _SEEDS)}"], "seeds"
+    for r in range(1, rounds + 1):
+        parts += [
+            _hop_sql(f"f{r}", seeds, target),
+            _score_sql("likelihood", f"f{r}", f"a{r}", far),
+            f"top{r} AS (SELECT id, {far}, score AS weight FROM a{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, {far}) <= {keep * r})",
+            _hop_sql(f"b{r}", f"top{r}", far),
+            _score_sql("likelihood", f"b{r}", f"o{r}", target),
+            f"n{r} AS (SELECT id, {target}, score AS weight FROM o{r})",
+        ]
+        seeds = f"n{r}"
+    return ", ".join(parts) + f" SELECT id, {target}, round(score, 6) AS score FROM o{rounds}"
+
+
+@query("espresso_contexts_two_rounds", _espresso_rounds_sql("context", 20, 2))
 def espresso_contexts_two_rounds(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _counted(spark, d)
     return _round(walks.bootstrap(pairs, _seeds(pairs, "context", _SEEDS), sc.likelihood(), 20, "context", rounds=2))
 
 

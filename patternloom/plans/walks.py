@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.score import Scorer, score, top_results, update_weights
-from ..operators.stats import extract, global_counts, other, project, with_global
+from ..operators.stats import counted, extract, global_counts, other, project, total_pairs, with_global
 
 _own: str | None = None
 
@@ -21,15 +21,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _own = _own or tempfile.mkdtemp(prefix="patternloom-")
     path = os.path.join(folder, f"walk-{uuid.uuid4().hex}-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hop(pairs: DataFrame, seeds: DataFrame, side: str = "context", min_matches: int = 1, global_stats: bool = True) -> DataFrame:
+def settled(pairs: DataFrame) -> DataFrame:
+    """Pairs counted once and held, for plans that use them several times; held ones stay as they are."""
+    return pairs if "matches" in pairs.columns else settle(counted(pairs), "pairs")
+
+
+def hop(pairs: DataFrame, seeds: DataFrame, side: str = "context", min_matches: int = 1, global_stats: bool = True, keep_unmatched: bool = False) -> DataFrame:
     """From seeds on one side to statistics with the other: context to pattern, or pattern to context."""
-    stats = extract(pairs, project(seeds, side), side, min_matches)
+    stats = extract(pairs, project(seeds, side), side, min_matches, keep_unmatched)
     return with_global(stats, global_counts(pairs, stats, other(side)), other(side)) if global_stats else stats
 
 
@@ -43,12 +50,14 @@ def pattern_to_context(pairs: DataFrame, seeds: DataFrame, **options) -> DataFra
 
 def context_to_context(pairs: DataFrame, seeds: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(pattern statistics, context statistics) of a walk of two hops."""
-    first = context_to_pattern(pairs, seeds, **options)
+    pairs = settled(pairs)
+    first = settle(context_to_pattern(pairs, seeds, **options), "hop")
     return first, pattern_to_context(pairs, first, **options)
 
 
 def pattern_to_pattern(pairs: DataFrame, seeds: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    first = pattern_to_context(pairs, seeds, **options)
+    pairs = settled(pairs)
+    first = settle(pattern_to_context(pairs, seeds, **options), "hop")
     return first, context_to_pattern(pairs, first, **options)
 
 
@@ -69,10 +78,11 @@ def bootstrap(pairs: DataFrame, seeds: DataFrame, by: Scorer, keep: int, target:
     """Grow contexts (or patterns) from seeds of the same side: expand to the opposite side, score it, keep the
     best ``keep`` times the round (all if negative), go back and score.  The result of a round seeds the next."""
     far = other(target)
-    total = settle(pairs.agg(F.count("*").alias("total")), "total")
+    pairs = settled(pairs)
+    total = settle(total_pairs(pairs), "total")
     current = seeds
     for i in range(1, rounds + 1):
-        out = hop(pairs, current, target, min_matches)
+        out = settle(hop(pairs, current, target, min_matches), "hop")
         scored = score(out, by, far, total)
         if keep >= 0:
             scored = top_results(scored, keep * i, (far,))
