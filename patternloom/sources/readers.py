@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.extract import parse_posts
@@ -12,12 +12,55 @@ from ..schema import PARSED
 from ..session import ship
 
 
+PIECE = "file string, file_size long, start long, at long, size long, value string"
+
+
+def pieces(spark: SparkSession, path: str, sep: str = "\n", **options) -> DataFrame:
+    """(file, offset, value, closed): the text between separators with its byte offset in the file; the last piece of a
+    file is closed if a separator ends it.
+
+    Large files are split.  Spark gives no offsets, so each split's bytes are
+    added up as they stream by, and a second pass over the input (a row for each
+    split remains) gives where its first piece begins.
+    """
+    ship(spark)
+    m = F.col("_metadata")
+    rows = spark.read.option("recursiveFileLookup", True).options(**options).option("lineSep", sep).text(path)
+    rows = rows.select(m["file_path"].alias("file"), m["file_size"].alias("file_size"), m["file_block_start"].alias("start"), F.octet_length("value").cast("long").alias("size"), "value")
+    width = len(sep.encode())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        file, start, upto = None, None, 0
+        for batch in batches:
+            files, starts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            size = batch.column(3).to_numpy() + width
+            at = np.zeros(len(size), np.int64)
+            first = [k for k in range(len(files)) if k == 0 or files[k] != files[k - 1] or starts[k] != starts[k - 1]]
+            for k, end in zip(first, [*first[1:], len(files)], strict=True):
+                if files[k] != file or starts[k] != start:
+                    file, start, upto = files[k], starts[k], 0
+                run_up = np.cumsum(size[k:end])
+                at[k:end] = upto + run_up - size[k:end]
+                upto += int(run_up[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(at), batch.column(3), batch.column(4)], names=["file", "file_size", "start", "at", "size", "value"])
+
+    local = rows.mapInArrow(run, PIECE)
+    splits = rows.groupBy("file", "start").agg(F.sum(F.col("size") + width).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(F.col("file").alias("_f"), F.col("start").alias("_s"), before.alias("_before"))
+    out = local.join(splits, (F.col("file") == F.col("_f")) & (F.col("start") == F.col("_s"))).withColumn("offset", F.col("at") + F.col("_before"))
+    return out.select("file", "offset", "value", (F.col("offset") + F.col("size") + width <= F.col("file_size")).alias("closed"))
+
+
 def lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(docid, content) of each line: two tab-separated columns are id and text; otherwise the id is a hash of file and
-    line and the text is the whole line."""
-    rows = spark.read.options(**options).text(path).select("value", F.split("value", "\t").alias("f"), F.input_file_name().alias("file"))
+    """(docid, content) of each line: two tab-separated columns are id and text; otherwise the id is the file's name and
+    the line's byte offset, and the text is the whole line."""
+    rows = pieces(spark, path, **options).withColumn("value", F.regexp_replace("value", "\r$", "")).withColumn("f", F.split("value", "\t"))
     two = F.size("f") == 2
-    own = F.hex(F.xxhash64("file", "value"))
+    own = F.concat_ws(":", F.substring_index("file", "/", -1), F.col("offset").cast("string"))
     return rows.select(F.when(two, F.get("f", 0)).otherwise(own).alias("docid"), F.when(two, F.get("f", 1)).otherwise(F.col("value")).alias("content"))
 
 
@@ -30,9 +73,10 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 def elements(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """(content): the text from each start marker to the next end marker, both included.
 
-    The end marker is the record separator, so large files are split.
+    The end marker is the record separator, so large files are split; a last
+    record without its end marker is no record.
     """
-    rows = spark.read.option("lineSep", end).text(path)
+    rows = pieces(spark, path, end).where("closed")
     at = F.locate(start, F.col("value"))
     return rows.where(at > 0).select(F.concat(F.expr(f"substring(value, locate({_sql(start)}, value))"), F.lit(end)).alias("content"))
 
@@ -51,33 +95,80 @@ def trec(spark: SparkSession, path: str) -> DataFrame:
 
 def posts(spark: SparkSession, path: str) -> DataFrame:
     """JSON posts, one in a line; see ``parse_posts``."""
-    return parse_posts(spark.read.text(path))
+    return parse_posts(spark.read.option("recursiveFileLookup", True).text(path))
 
 
 WARC = "record_type string, date string, uuid string, content_type string, metadata map<string,string>, content binary, docid string, text string"
 
 
-def parse_warc(raw: bytes) -> Iterator[dict]:
-    """Records of a WARC file: from a version line through all headers, then Content-Length bytes."""
-    at = after = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        if at != after and raw[at - 1 : at] != b"\n":
-            at += 5
+class _Stream:
+    """Bytes of a file, decompressed as they are asked for (gzip members, bzip2, or plain)."""
+
+    STEP = 1 << 20
+
+    def __init__(self, raw):
+        import bz2
+        import zlib
+
+        self.raw, self.at, self.held = memoryview(raw), 0, b""
+        magic = bytes(self.raw[:3])
+        self.make = (lambda: zlib.decompressobj(31)) if magic[:2] == b"\x1f\x8b" else bz2.BZ2Decompressor if magic == b"BZh" else None
+        self.d = self.make() if self.make else None
+
+    def more(self) -> bool:
+        """Take another piece into ``held``; false at the end."""
+        if self.at >= len(self.raw):
+            return False
+        piece = bytes(self.raw[self.at : self.at + self.STEP])
+        self.at += len(piece)
+        while piece and self.d:
+            self.held += self.d.decompress(piece)
+            piece = self.d.unused_data
+            if self.d.eof:
+                self.d = self.make()
+        if not self.make:
+            self.held += piece
+        return True
+
+    def find(self, what: bytes, start: int = 0) -> int:
+        while (k := self.held.find(what, start)) < 0 and self.more():
+            pass
+        return k
+
+    def skip(self, n: int) -> None:
+        self.held = self.held[n:]
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out, self.held = self.held[:n], self.held[n:]
+        return out
+
+
+def parse_warc(raw) -> Iterator[dict]:
+    """Records of a WARC file: from a version line through all headers, then Content-Length bytes; one is held at a time."""
+    s, fresh = _Stream(raw), True
+    while (at := s.find(b"WARC/")) >= 0:
+        if at and s.held[at - 1 : at] != b"\n" or not at and not fresh:
+            s.skip(at + 5)
+            fresh = False
             continue
-        ends = [(raw.find(sep, at), len(sep)) for sep in (b"\r\n\r\n", b"\n\n")]
-        ends = [e for e in ends if e[0] >= 0]
-        if not ends:
-            return
+        s.skip(at)
+        ends: list = []
+        while not ends:
+            ends = [(k, len(sep)) for sep in (b"\r\n\r\n", b"\n\n") if (k := s.held.find(sep)) >= 0]
+            if not ends and not s.more():
+                return
         end, gap = min(ends)
         head = {}
-        for line in raw[at:end].decode("utf-8", "replace").splitlines()[1:]:
+        for line in s.take(end).decode("utf-8", "replace").splitlines()[1:]:
             name, _, value = line.partition(":")
             head[name.strip()] = value.strip()
-        size = int(head.get("Content-Length", "0") or 0)
-        body = raw[end + gap : end + gap + size]
+        s.skip(gap)
+        body = s.take(int(head.get("Content-Length", "0") or 0))
         known = {k: head.pop(k, None) for k in ("WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Type")}
         yield {"record_type": known["WARC-Type"], "date": known["WARC-Date"], "uuid": known["WARC-Record-ID"], "content_type": known["Content-Type"], "metadata": list(head.items()), "content": body, "docid": head.get("WARC-TREC-ID"), "text": payload_text(body)}
-        at = after = end + gap + size
+        fresh = True
 
 
 def payload_text(body: bytes) -> str:
@@ -91,31 +182,30 @@ def payload_text(body: bytes) -> str:
 
 
 def warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of (compressed) web archives; a file is one task's work, as gzip can't be split."""
+    """Records of (compressed) web archives; a file is one task's work, as gzip can't be split, and is decompressed
+    record by record."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches):
-        import zlib
-
         import pyarrow as pa
 
+        kinds = {"metadata": pa.map_(pa.string(), pa.string()), "content": pa.binary()}
+        names = [f.split()[0] for f in WARC.split(", ")]
+
+        def rows(some):
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], kinds.get(n, pa.string())) for n in names], names=names)
+
         for batch in batches:
             for raw in batch.column(1):
-                data = raw.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    parts = []
-                    while data:
-                        d = zlib.decompressobj(31)
-                        parts.append(d.decompress(data))
-                        data = d.unused_data
-                    data = b"".join(parts)
-                rows = list(parse_warc(data))
-                for lo in range(0, len(rows), 500):
-                    some = rows[lo : lo + 500]
-                    kinds = {"metadata": pa.map_(pa.string(), pa.string()), "content": pa.binary()}
-                    names = [f.split()[0] for f in WARC.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in some], kinds.get(n, pa.string())) for n in names], names=names)
+                some, size = [], 0
+                for r in parse_warc(raw.as_buffer()):
+                    some.append(r)
+                    size += len(r["content"])
+                    if size > 8 << 20 or len(some) == 500:
+                        yield rows(some)
+                        some, size = [], 0
+                yield rows(some)
 
     return files.mapInArrow(run, WARC)
 

@@ -82,10 +82,10 @@ def _pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args) ->
 
 
 def _hop(side: str, twice: bool):
-    def tool(spark, seeds_path, corpus_path, corpus_class, extractor_class, extractor_args="", min_matches=1, global_stats=True):
+    def tool(spark, seeds_path, corpus_path, corpus_class, extractor_class, extractor_args="", min_matches=1, global_stats=True, keep_unmatched=False):
         pairs = _pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args)
         seeds = st.read_seeds(readers.seeds(spark, seeds_path), side)
-        options = {"min_matches": int(min_matches), "global_stats": str(global_stats).lower() == "true"}
+        options = {"min_matches": int(min_matches), "global_stats": str(global_stats).lower() == "true", "keep_unmatched": str(keep_unmatched).lower() == "true"}
         if twice:
             return (walks.context_to_context if side == "context" else walks.pattern_to_pattern)(pairs, seeds, **options)[1]
         return walks.hop(pairs, seeds, side, **options)
@@ -95,11 +95,50 @@ def _hop(side: str, twice: bool):
 
 def _scores(side: str):
     def tool(spark, input_path, scorer_class, scorer_args=None, total=None):
-        return sc.score(spark.read.parquet(input_path), sc.scorer(scorer_class, scorer_args), side, int(total) if total is not None else None)
+        """total: the number of pairs, or the path of a table that has it as ``total``."""
+        if total is not None:
+            total = int(total) if str(total).isdigit() else spark.read.parquet(total).select("total").limit(1)
+        return sc.score(spark.read.parquet(input_path), sc.scorer(scorer_class, scorer_args), side, total)
 
     return tool
 
 
+def _computed(side: str):
+    """Two hops from seeds, then scores; with a scorer of the other side its scores are the weights."""
+
+    def tool(spark, seeds_path, corpus_path, corpus_class, extractor_class, extractor_args="", scorer_class="pmi", scorer_args=None, other_scorer_class=None, other_scorer_args=None, min_matches=1):
+        pairs = walks.settled(_pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args))
+        seeds = st.read_seeds(readers.seeds(spark, seeds_path), side)
+        two, scores = (walks.context_to_context, walks.context_scores) if side == "context" else (walks.pattern_to_pattern, walks.pattern_scores)
+        first, second = two(pairs, seeds, min_matches=int(min_matches))
+        other = sc.scorer(other_scorer_class, other_scorer_args) if other_scorer_class else None
+        return scores(second, sc.scorer(scorer_class, scorer_args), st.total_pairs(pairs), first, other)
+
+    return tool
+
+
+def extract(spark, seeds_path, corpus_path, corpus_class, extractor_class, extractor_args="", extractor_target="context", min_matches=1, keep_unmatched=False):
+    pairs = _pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args)
+    seeds = st.read_seeds(readers.seeds(spark, seeds_path), extractor_target)
+    return st.extract(pairs, st.project(seeds, extractor_target), extractor_target, int(min_matches), str(keep_unmatched).lower() == "true")
+
+
+def extract_global_stats(spark, input_path, corpus_path, corpus_class, extractor_class, extractor_args="", extractor_target="pattern"):
+    """(value, count, total): global counts of a side of statistics, and the number of all pairs."""
+    pairs = walks.settled(_pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args))
+    counts = st.global_counts(pairs, spark.read.parquet(input_path), extractor_target)
+    return counts.crossJoin(F.broadcast(st.total_pairs(pairs)))  # one row
+
+
+def combine_splits(spark, input_path, counts_path, extractor_target="pattern"):
+    return st.with_global(spark.read.parquet(input_path), spark.read.parquet(counts_path), extractor_target)
+
+
+def combine_stats(spark, input_path):
+    """Several paths are comma-separated."""
+    return st.combine(*[spark.read.parquet(p) for p in input_path.split(",")])
+
+
 def _bootstrap(side: str):
     def tool(spark, input_path, corpus_path, corpus_class, extractor_class, extractor_args="", scorer_class="pmi", scorer_args=None, keep=-1, min_matches=1, num_iterations=1):
         pairs = _pairs(spark, corpus_path, corpus_class, extractor_class, extractor_args)
@@ -145,8 +184,11 @@ def parse_graph(spark, corpus_path, corpus_class="parsed"):
     return nlp.parse_graph(_parsed(spark, corpus_path, corpus_class))
 
 
-def extract_relations(spark, types_path, primary_types, patterns_path, corpus_path, instances_path=None, extractor_args="2:0"):
-    docs, (arity, skip) = readers.parsed(spark, corpus_path), map(int, extractor_args.split(":"))
+def extract_relations(spark, types_path, primary_types, patterns_path, corpus_path, instances_path=None, extractor_class="nary", extractor_args="2:0", corpus_class="parsed"):
+    """corpus_class other than ``parsed``: plain text, which the rule annotator parses first."""
+    if extractor_class != "nary":
+        raise ValueError("relations need the arguments that the extractor nary gives")
+    docs, (arity, skip) = _parsed(spark, corpus_path, corpus_class), map(int, extractor_args.split(":"))
     more = readers.relation_patterns(spark, instances_path) if instances_path else None
     found = relations.relations(docs, readers.relation_types(spark, types_path), readers.relation_patterns(spark, patterns_path), more, arity, skip)
     primary = dict(p.split("|") for p in primary_types.split(","))
@@ -171,7 +213,12 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "parse_graph": parse_graph,
     "extract_relations": extract_relations,
     "project": lambda spark, input_path, split_key="pattern+context": st.project(spark.read.parquet(input_path), split_key),
-    "combine_stats": lambda spark, input_path: st.combine(spark.read.parquet(input_path)),
+    "combine_stats": combine_stats,
+    "combine_splits": combine_splits,
+    "compute_context_scores": _computed("context"),
+    "compute_pattern_scores": _computed("pattern"),
+    "extract": extract,
+    "extract_global_stats": extract_global_stats,
     "update_weights": lambda spark, stats_path, scores_path, example_type: sc.update_weights(spark.read.parquet(stats_path), spark.read.parquet(scores_path), example_type),
     "top_results": lambda spark, input_path, num_results: sc.top_results(spark.read.parquet(input_path), int(num_results)),
     "combine_scores": lambda spark, input_path: sc.combine_scores(spark.read.parquet(input_path)),
