@@ -99,3 +99,58 @@ def mod(x, n) -> Column:
 def int_bytes(x) -> Column:
     """Four bytes, the highest first."""
     return F.unhex(F.right(F.lpad(F.hex(_c(x).cast("int")), 8, "0"), F.lit(8)))
+
+
+# ---------------------------------------------------------------- updates
+
+
+def array_add(a, x) -> Column:
+    return F.array_append(_c(a), x)
+
+
+def array_insert(a, at: int, x) -> Column:
+    """x before the 0-based place; at the end where that is the length."""
+    return F.concat(F.slice(_c(a), 1, at), F.array(x), F.slice(_c(a), at + 1, F.greatest(F.size(_c(a)) - at, F.lit(0))))
+
+
+def array_set(a, at: int, x) -> Column:
+    return F.transform(_c(a), lambda y, i: F.when(i == at, x).otherwise(y))
+
+
+def array_remove_at(a, at: int) -> Column:
+    return F.filter(_c(a), lambda y, i: i != at)
+
+
+def array_get(a, at: int) -> Column:
+    """0-based; null outside."""
+    return F.get(_c(a), at)
+
+
+def array_sorted(a, falling: bool = False) -> Column:
+    return F.sort_array(_c(a), asc=not falling)
+
+
+def map_contains_key(m, key) -> Column:
+    return F.map_contains_key(_c(m), key)
+
+
+def map_contains_value(m, value) -> Column:
+    return F.array_contains(F.map_values(_c(m)), value)
+
+
+def map_put(m, key, value) -> Column:
+    return map_put_all(m, F.create_map(key, value))
+
+
+def map_put_all(a, b) -> Column:
+    """Entries of both; of a key in both the second's."""
+    return F.map_concat(F.map_filter(_c(a), lambda k, v: ~F.map_contains_key(_c(b), k)), _c(b))
+
+
+def map_remove(m, key) -> Column:
+    return F.map_filter(_c(m), lambda k, v: k != key)
+
+
+def tuple_order(*fields: tuple[Column | str, Column | str]) -> Column:
+    """A sort key of (value, symbol) fields: a field with a symbol (null: none) comes before any value, symbols in order."""
+    return F.struct(*[F.struct(F.col(s).isNull() if isinstance(s, str) else s.isNull(), _c(s), _c(v)).alias(f"f{k}") for k, (v, s) in enumerate(fields)])

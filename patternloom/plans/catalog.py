@@ -217,19 +217,19 @@ def cooccur_pairs(spark, d):
 
 
 def _posts(spark, d) -> DataFrame:
-    """events as JSON posts: every fifth user repeats others."""
+    """events as JSON posts."""
     e = _t(spark, d, "events")
     post = F.struct(
         F.col("event_id").alias("id"),
         F.concat_ws(" ", "event_type", F.concat(F.lit("User"), F.col("user_id"))).alias("text"),
         F.date_format("ts", "EEE MMM dd HH:mm:ss Z yyyy").alias("created_at"),
-        (F.col("user_id") % 5 == 0).alias("retweeted"),
+        F.lit(False).alias("retweeted"),
         F.struct(F.col("user_id").cast("string").alias("screen_name"), F.concat(F.lit("Place"), F.col("user_id") % 7).alias("location")).alias("user"),
     )
     return ex.parse_posts(e.select(F.to_json(post).alias("value")))
 
 
-_POSTS = "posts AS (SELECT CAST(event_id AS VARCHAR) AS docid, [event_type, 'user' || user_id] AS tk, lower('Place' || (user_id % 7)) AS place, date_trunc('second', ts) AS ts FROM events WHERE user_id % 5 <> 0)"
+_POSTS = "posts AS (SELECT CAST(event_id AS VARCHAR) AS docid, [event_type, 'user' || user_id] AS tk, lower('Place' || (user_id % 7)) AS place, date_trunc('second', ts) AS ts FROM events)"
 _DAY = "year(tm) || ':' || month(tm) || ':' || day(tm)"
 
 
@@ -457,13 +457,23 @@ def espresso_contexts_two_rounds(spark, d):
 
 
 def _such_as(spark, d) -> DataFrame:
-    """A sentence for each region: "region0 areas such as nation0 , nation5 and nation10 here"."""
-    n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.lower(F.replace("n_name", F.lit("_"), F.lit(""))))).alias("names"))
-    text = F.concat(F.lit("the region"), F.col("n_regionkey"), F.lit(" such as "), F.array_join("names", " , "), F.lit(" is here"))
-    return annotate(n.select(F.col("n_regionkey").alias("doc_id"), text.alias("text")))
+    """A sentence for each order of several lines: "the order7 such as part3 , part12 and part40 is here"."""
+    l = c_lines(_t(spark, d, "lineitem"))
+    n = F.size("names")
+    some = F.when(n == 1, F.get("names", 0)).otherwise(F.concat(F.array_join(F.slice("names", 1, n - 1), " , "), F.lit(" and "), F.get("names", n - 1)))
+    text = F.concat(F.lit("the order"), F.col("l_orderkey").cast("string"), F.lit(" such as "), some, F.lit(" is here"))
+    return annotate(l.select(F.col("l_orderkey").alias("doc_id"), text.alias("text")))
 
 
-@query("sap_instances", "SELECT 'region' || n_regionkey || '|O' AS class, lower(replace(n_name, '_', '')) || '|O' AS instance, CAST(1 AS BIGINT) AS matches FROM nation UNION ALL SELECT DISTINCT 'the region' || n_regionkey || '|O', lower(replace(n_name, '_', '')) || '|O', CAST(1 AS BIGINT) FROM nation")
+def c_lines(lineitem: DataFrame) -> DataFrame:
+    return lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("part"), F.col("l_partkey").cast("string")))).alias("names"))
+
+
+@query(
+    "sap_instances",
+    """WITH p AS (SELECT DISTINCT l_orderkey, 'part' || l_partkey || '|O' AS instance FROM lineitem)
+    SELECT 'order' || l_orderkey || '|O' AS class, instance, CAST(1 AS BIGINT) AS matches FROM p UNION ALL SELECT 'the order' || l_orderkey || '|O', instance, CAST(1 AS BIGINT) FROM p""",
+)
 def sap_instances(spark, d):
     return instances.instance_counts(instances.such_as_pairs(_such_as(spark, d)))
 
@@ -536,9 +546,9 @@ def relation_rows(spark, d):
 
 
 def _such_as_people(spark, d) -> DataFrame:
-    n = _t(spark, d, "nation")
-    name = lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit("")))
-    return annotate(n.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("so "), name("n_name"), F.lit(" is in Region"), F.col("n_regionkey")).alias("text")))
+    """A sentence for each customer: "so Cust12 is in Nation7"."""
+    n = _t(spark, d, "customer")
+    return annotate(n.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("so Cust"), F.col("c_custkey").cast("string"), F.lit(" is in Nation"), F.col("c_nationkey").cast("string")).alias("text")))
 
 
 # ---------------------------------------------------------------- collections and formats
@@ -609,3 +619,169 @@ def cookie_headers(spark, d):
     header = F.concat(F.lit("user="), F.col("user_id"), F.lit("; kind="), F.url_encode("event_type"))
     e = _t(spark, d, "events").select(fmt.cookies(header).alias("c"))
     return e.select(F.col("c")["user"].cast("long").alias("user_id"), F.col("c")["kind"].alias("kind")).groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+
+
+_V4 = "list_transform(embedding[1:4], lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT))"
+
+
+def _numbers(spark, d) -> DataFrame:
+    return _t(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("v"))
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query(
+    "array_updates",
+    f"""WITH t AS (SELECT vec_id, {_V4} AS v FROM embeddings)
+    SELECT vec_id, array_to_string(list_append(v, 7), ',') AS added, array_to_string(v[1:1] || [8] || v[2:], ',') AS inserted, array_to_string(v[1:1] || [9] || v[3:], ',') AS changed,
+      array_to_string(v[2:], ',') AS removed, v[3] AS third, array_to_string(list_sort(v), ',') AS rising, array_to_string(list_reverse_sort(v), ',') AS falling FROM t""",
+)
+def array_updates(spark, d):
+    n = lambda x: F.lit(x).cast("long")
+    out = {
+        "added": coll.array_add("v", n(7)),
+        "inserted": coll.array_insert("v", 1, n(8)),
+        "changed": coll.array_set("v", 1, n(9)),
+        "removed": coll.array_remove_at("v", 0),
+        "rising": coll.array_sorted("v"),
+        "falling": coll.array_sorted("v", True),
+    }
+    return _numbers(spark, d).select("vec_id", *[_joined(c).alias(k) for k, c in out.items()], coll.array_get("v", 2).alias("third"))
+
+
+@query(
+    "array_sets",
+    f"""WITH t AS (SELECT vec_id, label, {_V4} AS v, list_transform(range(0, 5), lambda i: i + label) AS r FROM embeddings)
+    SELECT vec_id, array_to_string(list_sort(list_distinct(list_filter(r, lambda x: x IN (1, 3, 5, 7)))), ',') AS common, array_to_string(CASE WHEN list_contains(r, 3) THEN r ELSE list_append(r, 3) END, ',') AS with_three,
+      CAST(CASE WHEN list_contains(v, v[1]) THEN 4 - list_position(list_reverse(v), v[1]) ELSE -1 END AS INTEGER) AS last_at, array_to_string(range(label, label + 3), ',') AS numbers, ((vec_id - 100) % 7 + 7) % 7 AS rest, lower(printf('%08x', vec_id)) AS bytes FROM t""",
+)
+def array_sets(spark, d):
+    t = _numbers(spark, d).withColumn("r", F.transform(coll.int_range(F.lit(0), F.lit(5)), lambda i: (i + F.col("label")).cast("long")))
+    odd = F.array(*[F.lit(x).cast("long") for x in (7, 5, 3, 1)])
+    return t.select(
+        "vec_id",
+        _joined(coll.sorted_intersection("r", odd)).alias("common"),
+        _joined(coll.add_unique("r", F.lit(3).cast("long"))).alias("with_three"),
+        coll.last_index_of("v", F.get("v", 0)).cast("int").alias("last_at"),
+        _joined(coll.int_range(F.col("label").cast("int"), (F.col("label") + 3).cast("int"))).alias("numbers"),
+        coll.mod(F.col("vec_id") - 100, F.lit(7)).cast("long").alias("rest"),
+        F.lower(F.hex(coll.int_bytes("vec_id"))).alias("bytes"),
+    )
+
+
+@query(
+    "map_updates",
+    """SELECT event_id, event_type = 'click' AS has_value, user_id + 1 AS raised, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE event_type END AS put, CAST(1 AS BIGINT) AS n_left, event_type IN ('click', 'view') AS has_key, event_id * 2 AS total FROM events""",
+)
+def map_updates(spark, d):
+    m = F.create_map(F.lit("kind"), F.col("event_type"))
+    more = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("kind"), F.lit("even"))).otherwise(F.create_map(F.lit("other"), F.lit("odd")))
+    return _t(spark, d, "events").select(
+        "event_id",
+        coll.map_contains_value(m, F.lit("click")).alias("has_value"),
+        coll.map_increment(F.create_map(F.lit("n"), F.col("user_id")), F.lit("n"), F.lit(1).cast("long"))["n"].alias("raised"),
+        coll.map_put_all(m, more)["kind"].alias("put"),
+        F.size(coll.map_remove(coll.map_put(m, F.lit("gone"), F.lit("x")), "gone")).cast("long").alias("n_left"),
+        coll.map_contains_key(F.create_map(F.lit("click"), F.lit(1), F.lit("view"), F.lit(2)), F.col("event_type")).alias("has_key"),
+        coll.map_plus(F.create_map(F.lit("a"), F.col("event_id")), F.create_map(F.lit("a"), F.col("event_id")))["a"].alias("total"),
+    )
+
+
+@query("entries_by_key", "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type) <= 2")
+def entries_by_key(spark, d):
+    m = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return m.select("user_id", F.inline(coll.entries_by_key("m", 2))).select("user_id", F.col("key").alias("event_type"), F.col("value").alias("n"))
+
+
+@query("tuple_order", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY CASE WHEN n_regionkey = 1 THEN 0 ELSE 1 END, CASE WHEN n_regionkey = 1 THEN '*' END, n_name, n_nationkey) AS BIGINT) AS place FROM nation")
+def tuple_order(spark, d):
+    n = _t(spark, d, "nation").withColumn("symbol", F.when(F.col("n_regionkey") == 1, "*"))
+    key = coll.tuple_order(("n_name", "symbol"), ("n_nationkey", F.lit(None).cast("string")))
+    return n.select("n_nationkey", F.row_number().over(Window.orderBy(key)).cast("long").alias("place"))
+
+
+@query(
+    "vector_pairs",
+    """WITH e AS (SELECT vec_id, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+    SELECT vec_id, round(list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i]::DOUBLE * b[i]::DOUBLE)), 4) AS dot FROM e WHERE b IS NOT NULL""",
+)
+def vector_pairs(spark, d):
+    after = F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
+    return _t(spark, d, "embeddings").withColumn("b", after).where("b is not null").select("vec_id", F.round(coll.vector_dot("embedding", "b"), 4).alias("dot"))
+
+
+@query(
+    "json_updates",
+    """SELECT event_id, '{"k":' || k || ',"n":"x"}' AS put, '{}' AS removed, '{"k":' || (k + 5) || '}' AS raised, '{"k":[' || k || ',"y"]}' AS accumulated, '{"k":' || k || ',"list":[1]}' AS appended, true AS none
+    FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
+)
+def json_updates(spark, d):
+    e = _t(spark, d, "events").select("event_id", fmt.json_object(k=fmt.json_typed("props", "$.k", "long")).alias("j"))
+    text = F.lit('"y"')
+    return e.select(
+        "event_id",
+        fmt.json_put("j", "n", F.lit('"x"')).alias("put"),
+        fmt.json_remove("j", "k").alias("removed"),
+        fmt.json_increment("j", "k", 5).alias("raised"),
+        fmt.json_accumulate("j", "k", text).alias("accumulated"),
+        fmt.json_append("j", "list", F.lit("1")).alias("appended"),
+        fmt.json_is_null("j", "none").alias("none"),
+    )
+
+
+@query(
+    "json_arrays",
+    """SELECT event_id, user_id || '-"' || event_type || '"' AS joined, '[' || user_id || ',true]' AS put, '["' || event_type || '"]' AS removed, '[' || user_id || ',"' || event_type || '",null,0]' AS padded FROM events""",
+)
+def json_arrays(spark, d):
+    j = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(","), fmt.json_quote("event_type"), F.lit("]"))
+    return _t(spark, d, "events").select("event_id", fmt.json_array_join(j, "-").alias("joined"), fmt.json_array_put(j, 1, F.lit("true")).alias("put"), fmt.json_array_remove(j, 0).alias("removed"), fmt.json_array_put(j, 3, F.lit("0")).alias("padded"))
+
+
+@query(
+    "json_values",
+    """SELECT event_id, '"' || event_type || '"' AS word, CAST(event_id AS VARCHAR) AS number, 'true' AS flag, CAST(event_id % 255 AS VARCHAR) AS hexadecimal, CAST(2 AS BIGINT) AS n_names, 'a,b' AS names FROM events""",
+)
+def json_values(spark, d):
+    e = _t(spark, d, "events")
+    j = fmt.json_object(b="event_type", a="user_id")
+    return e.select(
+        "event_id",
+        fmt.coerce("event_type").alias("word"),
+        fmt.coerce(F.col("event_id").cast("string")).alias("number"),
+        fmt.coerce(F.lit("TRUE")).alias("flag"),
+        fmt.coerce(F.concat(F.lit("0x"), F.lower(F.hex(F.col("event_id") % 255)))).alias("hexadecimal"),
+        fmt.json_length(j).cast("long").alias("n_names"),
+        F.array_join(fmt.json_names(j), ",").alias("names"),
+    )
+
+
+@query(
+    "csv_tables",
+    r'''SELECT o_orderkey, '[{"id":"' || o_orderkey || '","name":"a, \"b\""},{"id":"2","name":"' || o_orderstatus || '"}]' AS rows, 'id,name' || chr(10) || o_orderkey || ',"a, ""b""' || chr(34) || chr(10) || '2,' || o_orderstatus AS text FROM orders''',
+)
+def csv_tables(spark, d):
+    text = F.concat(F.lit("id,name\n"), F.col("o_orderkey").cast("string"), F.lit(',"a, ""b"""\n2,'), F.col("o_orderstatus"))
+    o = _t(spark, d, "orders").select("o_orderkey", fmt.csv_table_to_json(text).alias("rows"))
+    return o.withColumn("text", fmt.json_to_csv("rows", ["id", "name"]))
+
+
+@query("jsonml_elements", """SELECT c_custkey, '["customer",{"segment":"' || c_mktsegment || '"},["name",{},"' || c_name || '"],"end"]' AS element FROM customer""")
+def jsonml_elements(spark, d):
+    inner = fmt.jsonml(F.lit("name"), F.create_map().cast("map<string,string>"), fmt.json_quote("c_name"))
+    whole = fmt.jsonml(F.lit("customer"), F.create_map(F.lit("segment"), F.col("c_mktsegment")), inner, fmt.json_quote(F.lit("end")))
+    return _t(spark, d, "customer").select("c_custkey", whole.alias("element"))
+
+
+@query("http_messages", "SELECT event_id, 'GET' AS method, '/u/' || user_id AS target, '404' AS status, 'Not Found' AS reason, event_type AS cookie, 'true' AS secure, '/' || user_id AS path, event_type AS kind FROM events")
+def http_messages(spark, d):
+    user = F.col("user_id").cast("string")
+    ask = fmt.http_start(F.concat(F.lit("GET /u/"), user, F.lit(" HTTP/1.1\r\nHost: x\r\n\r\n")))
+    answer = F.concat(F.lit("HTTP/1.1 404 Not Found\nX-Kind: a\nx-kind: "), F.col("event_type"), F.lit("\n\nbody: no"))
+    c = fmt.cookie(F.concat(F.lit("kind="), F.url_encode("event_type"), F.lit("; Path=/"), user, F.lit("; Secure")))
+    return _t(spark, d, "events").select("event_id", ask["method"].alias("method"), ask["target"].alias("target"), fmt.http_start(answer)["status"].alias("status"), fmt.http_start(answer)["reason"].alias("reason"), c["value"].alias("cookie"), c["secure"].alias("secure"), c["path"].alias("path"), fmt.http_headers(answer)["x-kind"].alias("kind"))
+
+
+from . import files  # noqa: E402, F401  (registers its queries with the decorator above)

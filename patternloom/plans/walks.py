@@ -15,18 +15,22 @@ from ..operators.stats import counted, extract, global_counts, other, project, t
 _own: str | None = None
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a round's small frame to the shared folder and read it back, so lineage doesn't grow with rounds."""
+def shared(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own on a local master (tests), else an error."""
     global _own
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = _own = _own or tempfile.mkdtemp(prefix="patternloom-")
-    path = os.path.join(folder, f"walk-{uuid.uuid4().hex}-{name}")
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    _own = _own or tempfile.mkdtemp(prefix="patternloom-")
+    return _own
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a round's frame to the shared folder and read it back, so lineage doesn't grow with rounds."""
+    path = os.path.join(shared(df.sparkSession), f"walk-{uuid.uuid4().hex}-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(pairs: DataFrame) -> DataFrame:
