@@ -536,11 +536,11 @@ def pos_signatures(spark, d):
     return rows.select("docid", "sentence", signature_column(F.col("tokens")).alias("signature"))
 
 
-@query("relations")
+@query("relations", "SELECT CAST(c_custkey AS VARCHAR) AS docid, CAST(0 AS INTEGER) AS sentence, 'near' AS rel_name, 'Cust' || c_custkey || ' -> Nation' || c_nationkey AS texts, 0.75::DOUBLE AS confidence FROM customer")
 def relation_rows(spark, d):
     docs = _such_as_people(spark, d)
     types = spark.sql("SELECT 'r1' AS rel_id, 'near' AS rel_name, array(named_struct('name', 'who', 'type', 'kb:Name', 'class', 'PERSON'), named_struct('name', 'place', 'type', 'kb:Name', 'class', 'PERSON')) AS args")
-    patterns = spark.sql("SELECT * FROM VALUES ('r1', 'PERSON|is in|PERSON|1/2', 0.7D), ('r1', 'PERSON|*|PERSON|1/2', 0.2D), ('r1', 'PERSON|is*|PERSON|1/2', 0.2D), ('r1', 'PERSON|*in|PERSON|1/2', 0.2D) AS t(name, pattern, weight)")
+    patterns = spark.sql("SELECT * FROM VALUES ('r1', 'PERSON|is in|PERSON|1/2', 0.7D), ('r1', 'PERSON|*|PERSON|1/2', 0.25D), ('r1', 'PERSON|is*|PERSON|1/2', 0.25D), ('r1', 'PERSON|*in|PERSON|1/2', 0.25D) AS t(name, pattern, weight)")
     found = relations.relations(docs, types, patterns, max_skip=2)
     return found.select("docid", "sentence", "rel_name", F.col("args.text").alias("texts"), "confidence").withColumn("texts", F.array_join("texts", " -> "))
 
