@@ -25,7 +25,6 @@ their names.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,53 +84,82 @@ def targets(sizes: dict, weights: dict, most: float = 3.0) -> dict:
     return out
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: float
-    cost: float
-    back: int
-
-
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials."""
+    """Min-cost flow for networks whose only costs are on arcs out of the source.
 
-    def __init__(self, n: int):
-        self.arcs: list[list[_Arc]] = [[] for _ in range(n)]
+    There a cheapest path costs as much as its first arc, so successive shortest
+    paths take these arcs by rising cost: all of one cost are opened at once and
+    filled by blocking flows (Dinic), along residual arcs that cost nothing.
+    """
 
-    def add(self, u: int, v: int, room: float, cost: float) -> tuple[int, int]:
-        self.arcs[u].append(_Arc(v, room, cost, len(self.arcs[v])))
-        self.arcs[v].append(_Arc(u, 0.0, -cost, len(self.arcs[u]) - 1))
-        return u, len(self.arcs[u]) - 1
+    LEAST = 1e-7
 
-    def solve(self, s: int, t: int) -> float:
-        pot, sent = [0.0] * len(self.arcs), 0.0
+    def __init__(self, n: int):
+        self.arcs: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[float] = []
+        self.closed: dict[float, list[tuple[int, float]]] = {}
+        self.first: dict[int, int] = {}
+
+    def add(self, u: int, v: int, room: float) -> int:
+        """An arc without cost; its number."""
+        k = len(self.to)
+        self.to += [v, u]
+        self.room += [room, 0.0]
+        self.arcs[u].append(k)
+        self.arcs[v].append(k + 1)
+        return k
+
+    def supply(self, v: int, room: float, cost: float) -> None:
+        """Room from the source (node 0) to v at a cost."""
+        if v not in self.first:
+            self.first[v] = self.add(0, v, 0.0)
+        self.closed.setdefault(cost, []).append((self.first[v], room))
+
+    def solve(self) -> None:
+        for cost in sorted(self.closed):
+            for k, room in self.closed[cost]:
+                self.room[k] += room
+            while self._blocking():
+                pass
+
+    def _blocking(self) -> bool:
+        """Fill all shortest residual paths from node 0 to node 1; false if there is none."""
+        depth = [-1] * len(self.arcs)
+        depth[0], queue = 0, [0]
+        for u in queue:
+            for k in self.arcs[u]:
+                v = self.to[k]
+                if depth[v] < 0 and self.room[k] > self.LEAST:
+                    depth[v] = depth[u] + 1
+                    queue.append(v)
+        if depth[1] < 0:
+            return False
+        at, path = [0] * len(self.arcs), []
+        u = 0
         while True:
-            dist, via = [float("inf")] * len(self.arcs), [None] * len(self.arcs)
-            dist[s], queue = 0.0, [(0.0, s)]
-            while queue:
-                d, u = heapq.heappop(queue)
-                if d > dist[u]:
-                    continue
-                for k, a in enumerate(self.arcs[u]):
-                    if a.room > 1e-9 and (nd := d + a.cost + pot[u] - pot[a.to]) < dist[a.to] - 1e-12:
-                        dist[a.to], via[a.to] = nd, (u, k)
-                        heapq.heappush(queue, (nd, a.to))
-            if via[t] is None:
-                return sent
-            pot = [p + d if d < float("inf") else p for p, d in zip(pot, dist, strict=True)]
-            push, v = float("inf"), t
-            while v != s:
-                u, k = via[v]
-                push, v = min(push, self.arcs[u][k].room), u
-            v = t
-            while v != s:
-                u, k = via[v]
-                a = self.arcs[u][k]
-                a.room -= push
-                self.arcs[v][a.back].room += push
-                v = u
-            sent += push
+            if u == 1:
+                push = min(self.room[k] for k in path)
+                for k in path:
+                    self.room[k] -= push
+                    self.room[k ^ 1] += push
+                cut = next(i for i, k in enumerate(path) if self.room[k] <= self.LEAST)
+                u = self.to[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while at[u] < len(self.arcs[u]):
+                k = self.arcs[u][at[u]]
+                if self.room[k] > self.LEAST and depth[self.to[k]] == depth[u] + 1:
+                    path.append(k)
+                    u = self.to[k]
+                    break
+                at[u] += 1
+            else:
+                if not path:
+                    return True
+                k = path.pop()
+                u = self.to[k ^ 1]
+                at[u] += 1
 
 
 def route(patterns: dict[tuple, tuple[float, dict]], quota: dict, max_repeats: int = 3) -> dict[tuple, dict]:
@@ -150,15 +178,15 @@ def route(patterns: dict[tuple, tuple[float, dict]], quota: dict, max_repeats: i
             left, use, width = max_repeats * sum(words.values()), 0, 1
             while left > 0 and once > 0:
                 room = min(left, width * once)
-                flow.add(0, 2 + i, float(room), float(use * use))
+                flow.supply(2 + i, float(room), float(use * use))
                 left -= room
                 use += width
                 width = 1 if use < 4 else use
-            used.append([(s, *flow.add(2 + i, at[s], float(max_repeats * words[s]), 0.0)) for s in p])
+            used.append([(s, flow.add(2 + i, at[s], float(max_repeats * words[s]))) for s in p])
         for s in sources:
-            flow.add(at[s], 1, float(quota[s]), 0.0)
-        flow.solve(0, 1)
-        out |= {p: {s: flow.arcs[flow.arcs[u][k].to][flow.arcs[u][k].back].room for s, u, k in used[i]} for i, p in enumerate(names)}
+            flow.add(at[s], 1, float(quota[s]))
+        flow.solve()
+        out |= {p: {s: flow.room[k ^ 1] for s, k in used[i]} for i, p in enumerate(names)}
     return out
 
 
@@ -200,10 +228,11 @@ def _place(seed: int) -> Column:
 def shared_texts(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: distinct ones by source where that is one; shared: text_key, times and pattern of those in several)."""
     of = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))  # a null source is a source too
-    texts = spill(sized.groupBy("text_key").agg(F.min(of).alias("low"), F.max(of).alias("high"), F.max("size").alias("size"), F.count("*").alias("times")), "texts")
+    # a row for each text and source first, however often the text occurs there
+    pairs = spill(sized.groupBy("text_key", of.alias("of")).agg(F.max("size").alias("size"), F.count("*").alias("times")), "pairs")
+    texts = spill(pairs.groupBy("text_key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.max("size").alias("size"), F.sum("times").alias("times")), "texts")
     keys = texts.where("low <> high").select("text_key", "size", "times")
-    # rows of shared texts only: sources are gathered as a set, however often a text occurs
-    sets = sized.join(keys.select(F.col("text_key").alias("_t")), F.col("text_key") == F.col("_t"), "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_set(of)).alias("of"))
+    sets = pairs.join(keys.select(F.col("text_key").alias("_t")), F.col("text_key") == F.col("_t"), "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_set("of")).alias("of"))
     shared = keys.join(sets.withColumnRenamed("text_key", "_t"), F.col("text_key") == F.col("_t")).select("text_key", "size", "times", F.to_json("of").alias("pattern"))
     return texts, spill(shared, "shared")
 
