@@ -386,6 +386,35 @@ def rule_annotator(text: str) -> list[list[Token]]:
     return out
 
 
+def load_annotator(path: str) -> Annotator:
+    """An annotator by import path (``package.module:name``), such as a wrapper of trained models; it is imported where
+    Python workers run."""
+    import importlib
+
+    module, _, name = path.partition(":")
+    importlib.import_module(module)  # an unknown module fails here rather than in a worker
+    held: dict[str, Annotator] = {}
+
+    def annotator(text: str) -> list[list[Token]]:
+        if name not in held:
+            held[name] = getattr(importlib.import_module(module), name)
+        return held[name](text)
+
+    return annotator
+
+
+def counted(parsed: DataFrame, counters) -> DataFrame:
+    """parsed with counters (an ``Observation``) of documents, of those without sentences, of sentences and of tokens."""
+    tokens = F.aggregate(F.transform("sentences", F.size), F.lit(0), lambda n, x: n + x)
+    return parsed.observe(
+        counters,
+        F.count(F.lit(1)).alias("documents"),
+        F.count(F.when(F.coalesce(F.size("sentences"), F.lit(0)) <= 0, 1)).alias("failures"),
+        F.sum(F.greatest(F.size("sentences"), F.lit(0))).alias("sentences"),
+        F.sum(tokens).alias("tokens"),
+    )
+
+
 def annotate(docs: DataFrame, annotator: Annotator = rule_annotator, text: str = "text", docid: str = "doc_id") -> DataFrame:
     """Parsed documents (docid, sentences).  Sentences that an annotator fails on should be left out by it."""
     ship(docs.sparkSession)

@@ -70,4 +70,31 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-TOKENIZERS = {"whitespace": whitespace_tokens, "tag": tag_tokens}
+# fixed values: the Treebank tokenization rules, applied in order
+PTB_RULES = (
+    (r"\s+", " "),
+    (r'^"', "`` "),
+    (r"([ (\[{<])\"", "$1 `` "),
+    (r"\.\.\.", " ... "),
+    (r"([,;:@#$%&])", " $1 "),
+    (r"([^.])(\.)([\])}>\"']*)\s*$", "$1 $2$3 "),
+    (r"([?!])", " $1 "),
+    (r"([\]\[(){}<>])", " $1 "),
+    (r"--", " -- "),
+    (r"$", " "),
+    (r"\"", " '' "),
+    (r"([^'])' ", "$1 ' "),
+    (r"'([sSmMdD]) ", " '$1 "),
+    (r"('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", " $1 "),
+)
+
+
+def ptb_tokens(text) -> Column:
+    """Treebank tokens of a sentence: punctuation, quotes and contractions apart."""
+    out = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for pattern, to in PTB_RULES:
+        out = F.regexp_replace(out, pattern, to)
+    return F.filter(F.split(out, " +"), lambda x: x != "")
+
+
+TOKENIZERS = {"whitespace": whitespace_tokens, "tag": tag_tokens, "treebank": ptb_tokens}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import collections as coll
 from ..functions import formats as fmt
 from ..functions.nlp import annotate, extract_chunks, extract_nary, extract_paths, parse_graph, signature_column
-from ..functions.tokenize import sentences, tag_tokens, whitespace_tokens
+from ..functions.tokenize import PTB_RULES, ptb_tokens, sentences, tag_tokens, whitespace_tokens
 from ..operators import extract as ex
 from ..operators import score as sc
 from ..operators import stats as st
@@ -189,6 +189,18 @@ def tokenize_tag(spark, d):
     return _t(spark, d, "pages").select("page_id", F.array_join(tag_tokens("html"), " ").alias("tokens"))
 
 
+def _ptb_sql() -> str:
+    x = "coalesce(text, '')"
+    for pattern, to in PTB_RULES:
+        x = f"regexp_replace({x}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92)).replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"list_filter(string_split_regex({x}, ' +'), lambda y: y <> '')"
+
+
+@query("tokenize_ptb", f"SELECT conv_id, turn, array_to_string({_ptb_sql()}, ' ') AS tokens FROM conversations")
+def tokenize_ptb(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(ptb_tokens("text"), " ").alias("tokens"))
+
+
 _SENT = r"list_filter(string_split(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 
 

@@ -162,9 +162,11 @@ def harvest_sentences(spark, pattern_path, corpus_path, corpus_class):
     return mine.pattern_sentences(rows, readers.regex_list(spark, pattern_path))
 
 
-def annotate(spark, corpus_path, corpus_class):
+def annotate(spark, corpus_path, corpus_class, annotator=None):
+    """annotator: an import path ``package.module:name``; unset, the rule annotator."""
     docs = CORPORA[corpus_class](spark, corpus_path)
-    return nlp.annotate(docs, text="content" if "content" in docs.columns else "text", docid="docid")
+    own = nlp.load_annotator(annotator) if annotator else nlp.rule_annotator
+    return nlp.annotate(docs, own, text="content" if "content" in docs.columns else "text", docid="docid")
 
 
 def _parsed(spark, corpus_path, corpus_class) -> DataFrame:

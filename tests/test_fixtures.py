@@ -246,3 +246,104 @@ def test_formats(spark):
     ).first()
     assert (r.b, r.n, r.names, r.t, r.h, r.s) == ("x", 5, ["a", "n"], "true", "31", '"it\'s"')
     assert r.http == {"a": "3", "b": "2"} and r.c == {"k": "v w", "z": "1"} and r.ml == '["p",{"k":"v"},"x"]'
+
+
+def test_lines_have_own_ids(spark, tmp_path):
+    """Equal lines are different documents, named by file and byte offset, also where a file is split."""
+    from patternloom.sources import readers
+
+    (tmp_path / "a").mkdir()
+    text = "".join(f"same line\nélan {k}\n" for k in range(3000)) + "last"
+    (tmp_path / "a" / "x.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "a" / "more").mkdir()
+    (tmp_path / "a" / "more" / "y.txt").write_text("id\ttext\r\nsame line\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = {r.docid: r.content for r in readers.lines(spark, str(tmp_path / "a")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    raw, at, want = text.encode(), 0, {"id": "text", "y.txt:9": "same line"}
+    for line in raw.split(b"\n"):
+        want[f"x.txt:{at}"] = line.decode()
+        at += len(line) + 1
+    assert rows == want
+
+
+def test_unclosed_record(spark, tmp_path):
+    from patternloom.sources import readers
+
+    (tmp_path / "a.xml").write_text("<DOC><DOCNO> D1 </DOCNO>hello</DOC>\n<DOC>unclosed")
+    (tmp_path / "b.xml").write_text("x<DOC id='D2'>y</DOC>")
+    rows = {r.docid: r.content for r in readers.trec(spark, str(tmp_path)).collect()}
+    assert rows == {"D1": "<DOC><DOCNO> D1 </DOCNO>hello</DOC>", "D2": "<DOC id='D2'>y</DOC>"}
+
+
+def test_archive_streams(tmp_path):
+    """Records are read from gzip members, bzip2 and plain bytes alike, one at a time."""
+    import bz2
+    import gzip
+
+    from patternloom.sources.readers import _Stream, parse_warc
+
+    def record(k, body):
+        return f"WARC/0.18\r\nWARC-Type: response\r\nWARC-TREC-ID: d{k}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    bodies = [b"Content-Length: 1\nWARC/ inside", b"y" * 3_000_000, b""]
+    records = [record(k, b) for k, b in enumerate(bodies)]
+    for raw in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), bz2.compress(b"".join(records))):
+        got = list(parse_warc(raw))
+        assert [r["docid"] for r in got] == ["d0", "d1", "d2"] and [r["content"] for r in got] == bodies
+    assert _Stream(b"abc").take(2) == b"ab"
+
+
+def test_passage_ids_with_bars(spark):
+    from patternloom.operators import extract as ex
+
+    docs = spark.createDataFrame([("a|b", ["x y", "z", "w"])], "docid string, sentences array<string>")
+    rows = ex.passage_pairs(docs, lambda w: ex.cooccurrence_pairs(w, 1)).collect()
+    assert {r.docid for r in rows} == {"a|b"} and {r.context for r in rows} == {"a|b|0", "a|b|1"}
+
+
+def test_counters_and_annotators(spark):
+    from pyspark.sql import Observation
+
+    from patternloom.functions import nlp
+
+    docs = spark.createDataFrame([("1", "One is here. Two is there."), ("2", None)], "doc_id string, text string")
+    seen = Observation()
+    own = nlp.load_annotator("patternloom.functions.nlp:rule_annotator")
+    nlp.counted(nlp.annotate(docs, own), seen).collect()
+    assert (seen.get["documents"], seen.get["failures"], seen.get["sentences"], seen.get["tokens"]) == (2, 1, 2, 8)
+    with pytest.raises(ModuleNotFoundError):
+        nlp.load_annotator("no_such_module:x")
+
+
+def test_unmatched_seeds(spark):
+    from patternloom.operators import stats as st
+
+    pairs = spark.createDataFrame([("1", "a", "x"), ("1", "a", "x"), ("1", "a", "y"), ("1", "b", "z")], "docid string, context string, pattern string")
+    seeds = spark.createDataFrame([("1", "a", 1.0), ("1", "none", 2.0), ("2", "b", 3.0)], "id string, context string, weight double")
+    got = {(r.id, r.context, r.pattern): (r.matches, r.global_context_count, r.weight) for r in st.extract(pairs, seeds, "context", 2, True).collect()}
+    assert got == {("1", "a", "x"): (2, 3, 1.0), ("1", "none", None): (0, 0, 2.0), ("2", "b", None): (0, 1, 3.0)}
+    assert {tuple(r) for r in st.extract(pairs, seeds, "context", 2).collect()} == {tuple(r) for r in st.extract(st.counted(pairs), seeds, "context", 2).collect()}
+
+
+def test_many_patterns(spark, monkeypatch):
+    """More patterns than a pass takes."""
+    from patternloom.plans import mine
+
+    monkeypatch.setattr(mine, "PATTERNS", 3)
+    rows = spark.createDataFrame([(f"w{k} x",) for k in range(10)], "sentence string")
+    got = {tuple(r) for r in mine.pattern_sentences(rows, [f"w{k} " for k in range(10)]).collect()}
+    assert got == {(f"w{k} ", f"w{k} x") for k in range(10)}
+    assert mine.pattern_sentences(rows, []).count() == 0
+
+
+def test_treebank_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from patternloom.functions.tokenize import ptb_tokens
+
+    row = spark.range(1).select(ptb_tokens(F.lit('He said, "They\'ll go (now)... won\'t they?" It\'s Mr. Hill\'s.')).alias("t")).first()
+    assert row.t == ["He", "said", ",", "``", "They", "'ll", "go", "(", "now", ")", "...", "wo", "n't", "they", "?", "''", "It", "'s", "Mr.", "Hill", "'s", "."]
