@@ -30,11 +30,15 @@ from pyspark.sql import functions as F
 from ._shared import give_way, map_batches, spill
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower(text: str) -> str:
+    """A-Z lowered, nothing else: bytes of other characters stay as they are."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_UPPER)) if text else []
+    return WORD.findall(lower(text)) if text else []
 
 
 class Scanner:
@@ -122,7 +126,7 @@ def _hits(docs: DataFrame, block, size: int, text: str, only: bool) -> DataFrame
                 counts.append(len(ws))
                 items.append(sorted(ids))
                 runs.append([{"start": a, "end": b} for a, b in found])
-                at = [m.span() for m in WORD.finditer(t.translate(_UPPER))] if found else []
+                at = [m.span() for m in WORD.finditer(lower(t))] if found else []
                 spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in found])
             out = pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in rest), pa.array(counts, pa.int64()), pa.array(runs, pairs), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)], names=[*rest, "n_words", "runs", "items", "spans"])
             yield out.filter(pa.array([bool(x) for x in runs], pa.bool_())) if only else out
