@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patternloom.llm import _stats, _words, decontaminate, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan, sharding, toxicity
-from patternloom.llm._shared import components
+from patternloom.llm._shared import components, labelled
 
 SPACE = re.compile(r"[^ \t-\r]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +164,50 @@ def test_toxicity(spark):
     assert any(x in spans.text[spans.passages[0].start : spans.passages[0].end] for x in ("scum", "moron", "idiot"))
 
 
+def plain_segments(scores):
+    """All maximal-scoring segments by definition: take the best segment, then go on to its left and right."""
+    best, at = 0.0, None
+    for a in range(len(scores)):
+        total = 0.0
+        for z in range(a, len(scores)):
+            total += scores[z]
+            if total > best + 1e-12:
+                best, at = total, (a, z + 1)
+    if at is None:
+        return []
+    a, z = at
+    return plain_segments(scores[:a]) + [(a, z, best)] + [(x + z, y + z, v) for x, y, v in plain_segments(scores[z:])]
+
+
+def test_toxicity_by_hand(spark):
+    """Scores against the model applied word by word, with segments found by their definition."""
+    rng = random.Random(8)
+    words = vocabulary(rng, 60)
+    rows = [(k, " ".join(rng.choice([*words, "scumbag", "Idiot", "idiotic"] if k % 3 == 0 else words) + rng.choice(["", "!", "\n"]) for _ in range(30))) for k in range(240)] + [(900, None), (901, ""), (902, "é 12")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int"))
+    assert (model.weights > 0).any() and model.k > 0
+    known = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def hashes(w):
+        data, offs = _words.column(pa.array([w]))
+        x = _words.scan(data, offs, 0, 1, _words.ALPHA, lower=True, heads=toxicity.HEADS)
+        return x.hash.tolist()[0], x.heads[0].tolist()
+
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    for k, t in rows:
+        ws = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")
+        scores = []
+        for w in ws:
+            whole, heads = hashes(w)
+            own = known.get(whole, -model.drift)
+            scores.append(max([own, *(known[h] for h in heads if h in known)]))
+        found = [v for _, _, v in plain_segments(scores)]
+        evidence = sum(e for v in found if (e := model.lam * v - math.log(model.k * max(len(ws), 1))) > -math.log(model.significant))
+        assert got[k].n_words == len(ws) and math.isclose(got[k].evidence, evidence, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(got[k].score, 1 / (1 + math.exp(-(model.bias + model.slope * math.log1p(evidence)))), rel_tol=1e-9)
+
+
 # ---------------------------------------------------------------- 3 and 6
 
 
@@ -218,6 +262,48 @@ def test_quality_classifier(spark):
     assert kept.columns == d.columns and kept.where("doc_id % 5 = 0 and doc_id < 500").count() < 5
 
 
+def plain_counts(t):
+    """COUNTS of a text, written again without vectors."""
+    t = t or ""
+    raw, w = t.encode(), SPACE.findall(t)
+    c = Counter(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False))
+    hit = {j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    return {
+        "n_bytes": len(raw), "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(hit), "n_distinct": len(set(w)), "n_upper": len(re.findall("[A-Z]", t)), "n_letters": len(re.findall("[A-Za-z]", t)) + sum(ord(x) > 127 for x in t), "n_digits": len(re.findall("[0-9]", t)),
+        "n_bang": len(re.findall("[!?]", t)), "n_pipe": t.count("|"), "n_edge_symbols": sum(x[-1] in "#*$%&|<>!?=@^~" for x in w), "max_word": max((len(x.encode()) for x in w), default=0),
+    }
+
+
+def test_quality_scores_by_hand(spark):
+    """Scores and verdicts of operators 3 and 6 against their models applied to statistics counted without vectors."""
+    d, lab = judged(spark)
+    more = d.unionByName(spark.createDataFrame([(2000, "É É é\nÉ É é\n| a|b! 12 #x"), (2001, "\n\n")], "doc_id long, text string"))
+    out, model = quality_classifier.score(more, lab)
+    ruled, rules = quality_rules.apply(more, lab)
+    texts = {r.doc_id: r.text for r in more.collect()}
+    kept = {r.doc_id: r.kept for r in ruled.collect()}
+    for r in out.collect():
+        c = plain_counts(texts[r.doc_id])
+        assert {k: r[k] for k in c} == c
+        x = {n: eval(e.format(p=""), {"ln": math.log, "greatest": max, **c}) for n, e in _stats.RATIOS.items()}
+        z = [min(max((x[n] - model.mean[i]) / model.sd[i], -6), 6) for i, n in enumerate(quality_classifier.NAMES)]
+        k = len(z)
+        raw = sum(v * model.weight[i] + max(v - 1, 0) * model.weight[k + i] + max(-v - 1, 0) * model.weight[2 * k + i] for i, v in enumerate(z))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-((raw - model.at) * model.scale + math.log(0.3 / 0.7)))), rel_tol=1e-9)
+        failed = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        rejected = any(all(x[n] >= t if up else x[n] <= t for n, up, t in rule.conditions) for rule in rules)
+        assert kept[r.doc_id] == (not failed and not rejected)
+
+
+def test_labels_of_repeated_rows(spark):
+    """A label brings one row, however often its doc_id occurs; labels that contradict each other bring none."""
+    d = spark.createDataFrame([(1, "b")] * 50 + [(1, "a"), (2, "x"), (3, None), (None, "y")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1)], "doc_id long, quality int")
+    assert sorted(tuple(r) for r in labelled(d, lab, "quality", F.lit(True), 10).collect()) == [(1, "a", 1), (3, None, 0)]
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -670,6 +756,9 @@ def test_sharding_is_even(spark):
     for r in sharding.assign(rows).collect():
         per[r.shard] += r["size"]
     assert len(per) == 16 and max(per.values()) < 1.1 * min(per.values())
+    # without an overfull range shards and slots follow the order of keys, so equal texts are neighbours
+    keyed = sharding.assign(rows.where("doc_id % 3 <> 0").unionByName(rows.where("doc_id % 30 = 1")), keep=["doc_id", "text"]).withColumn("key", F.xxhash64("text")).orderBy("shard", "slot").collect()
+    assert [r.key for r in keyed] == sorted(r.key for r in keyed)
 
 
 @pytest.mark.parametrize("ids", ["repeated", "null"])
