@@ -38,6 +38,7 @@ SIZES = "doc_id long, source string, size long, text_hash long, text_key string"
 CELLS = 4096
 DEPTH = 5  # CELLS ** DEPTH cells at most
 CUT_ROWS = 10_000
+BROADCAST_ROWS = 200_000  # narrow rows of the plan that are broadcast
 OFTEN = 1000  # texts that occur so often are joined apart, so that they load no single task
 
 
@@ -217,7 +218,9 @@ class Plan:
     rows: list[tuple]
 
     def table(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.rows, "plan_source string, plan_pattern string, source_size long, target double, whole int, cut_from long, cut_to long, rest double")
+        """The rows, broadcast where they are few; more are joined by shuffle."""
+        out = spark.createDataFrame(self.rows, "plan_source string, plan_pattern string, source_size long, target double, whole int, cut_from long, cut_to long, rest double")
+        return F.broadcast(out) if len(self.rows) <= BROADCAST_ROWS else out
 
 
 def _place(seed: int) -> Column:
@@ -293,7 +296,7 @@ def _cut(rows: DataFrame, made: list[tuple], seed: int) -> list[tuple]:
         if not live:
             break
         wide = CELLS ** (DEPTH - 1 - depth)
-        table = Plan([cuts[k] for k in sorted(live, key=str)]).table(rows.sparkSession).drop("source_size", "target", "whole")
+        table = Plan([cuts[k] for k in sorted(live, key=str)]).table(rows.sparkSession)
         place = rows.withColumn("_place", _place(seed)).join(table, _same()).where("_place >= cut_from and _place < cut_to")
         cells = place.groupBy("plan_source", "plan_pattern", F.expr(f"cut_from + (_place - cut_from) div {wide}L * {wide}L").alias("cell"), "rest").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_rows"))
         upto = F.sum("cell_size").over(Window.partitionBy("plan_source", "plan_pattern").orderBy("cell"))
