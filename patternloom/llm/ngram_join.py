@@ -179,7 +179,7 @@ def _points(column, n: np.ndarray) -> np.ndarray:
     _, offs, data = column.buffers()
     at = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column)].astype(np.int64)
     data = np.frombuffer(data, np.uint8)
-    out = np.zeros((len(n), GROUPS), np.int64)
+    out = np.zeros((len(n), GROUPS), np.int32)
     for low, high, width in ((0, 1 << 8, 1), (1 << 8, 1 << 16, 2), (1 << 16, 1 << 62, 4)):
         k = np.flatnonzero((n >= low) & (n < high))
         if len(k):
@@ -255,9 +255,9 @@ class RTree:
                 keep = (px < count) & (py < count) & (px <= py)
                 stack.append((level - 1, px[keep], py[keep]))
                 continue
-            for k in range(0, len(x), 64):
-                i = (x[k : k + 64, None] * LEAF + np.arange(LEAF))[:, :, None]
-                j = (y[k : k + 64, None] * LEAF + np.arange(LEAF))[:, None, :]
+            for k in range(0, len(x), 16):
+                i = (x[k : k + 16, None] * LEAF + np.arange(LEAF))[:, :, None]
+                j = (y[k : k + 16, None] * LEAF + np.arange(LEAF))[:, None, :]
                 i, j = np.broadcast_arrays(i, j)
                 keep = (i < j) & (j < len(self.n))
                 i, j = i[keep], j[keep]
@@ -370,8 +370,8 @@ def candidates(rows: DataFrame) -> DataFrame:
             of = np.repeat(np.arange(len(size)), size)
             for d in range(1, min(LEAF, len(n))):
                 i = np.flatnonzero(leaf[:-d] & (of[d:] == of[:-d]) & (comp[d:] != comp[:-d]))
-                for k in range(0, len(i), 8192):
-                    x, y = i[k : k + 8192], i[k : k + 8192] + d
+                for k in range(0, len(i), 4096):
+                    x, y = i[k : k + 4096], i[k : k + 4096] + d
                     ok = RTree._could(np.minimum(points[x], points[y]).sum(1), n[x], n[x], n[y], n[y])
                     us.append(node[x[ok]])
                     vs.append(node[y[ok]])
