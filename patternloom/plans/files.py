@@ -330,3 +330,24 @@ def tool_harvest_pairs(spark, d):
 @c.query("tool_examples", f"SELECT id, context, CAST(NULL AS VARCHAR) AS pattern, weight FROM ({_FEW}) AS t(id, context, weight)")
 def tool_examples(spark, d):
     return tools.run(spark, "examples", input_path=_seed_file(spark))
+
+
+@c.query(
+    "parsed_paths",
+    """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS docid, 'Cust' || o_custkey AS a, 'Status' || o_orderstatus AS b FROM orders)
+    SELECT docid, a || '|' || b AS context, 'NP|nsubj|VB|ordered|VB|dobj|NP' AS pattern, CAST(1 AS BIGINT) AS matches FROM o
+    UNION ALL SELECT docid, b || '|' || a, 'NP|dobj|VB|ordered|VB|nsubj|NP', CAST(1 AS BIGINT) FROM o""",
+)
+def parsed_paths(spark, d):
+    """Dependency paths of a sentence for each order: "Cust7 ordered StatusF", both nouns under the verb."""
+    rows = c._t(spark, d, "orders")
+
+    def token(word, k, pos, chunk, dep, head):
+        return F.struct(
+            word.alias("token"), F.lit(k).alias("begin"), F.lit(k + 1).alias("end"), word.alias("lemma"), F.lit(pos).alias("pos"), F.lit(chunk).alias("chunk"), F.lit("O").alias("ne"), F.lit(dep).alias("dep_type"), F.lit(head).alias("dep_index"), F.lit(-1).alias("coref_id")
+        )
+
+    words = (F.concat(F.lit("Cust"), F.col("o_custkey").cast("string")), F.lit("ordered"), F.concat(F.lit("Status"), F.col("o_orderstatus")))
+    tokens = [token(w, k, *x) for k, (w, x) in enumerate(zip(words, (("NN", "B-NP", "nsubj", 2), ("VBD", "B-VP", "root", 0), ("NN", "B-NP", "dobj", 2)), strict=True))]
+    docs = rows.select(F.col("o_orderkey").cast("string").alias("docid"), F.array(F.array(*tokens)).cast(f"array<array<{TOKEN}>>").alias("sentences"))
+    return tools.ex.pair_counts(tools.nlp.extract_paths(docs))
