@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import collections as coll
 from ..functions import formats as fmt
 from ..functions.nlp import annotate, extract_chunks, extract_nary, extract_paths, parse_graph, signature_column
-from ..functions.tokenize import PTB_RULES, ptb_tokens, sentences, tag_tokens, whitespace_tokens
+from ..functions.tokenize import PTB_RULES, PUNCTUATION, SPLIT, ptb_tokens, sentences, tag_tokens, whitespace_tokens
 from ..operators import extract as ex
 from ..operators import score as sc
 from ..operators import stats as st
@@ -165,8 +165,7 @@ def tokenize_ws(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(t, " ").alias("tokens"), F.size(t).cast("long").alias("n"))
 
 
-_S = r"""\x00-\x20;"&/:!#?$%()@^*+\-,=><\[\]{}|`~_"""
-_P = r""";"&/:!#?$%()@+\-,`"""
+_S, _P = SPLIT, PUNCTUATION
 
 
 def _tag_sql(text: str) -> str:
