@@ -380,9 +380,15 @@ def top_results(spark, d):
     return sc.top_results(_round(sc.score(s, sc.pmi(), "pattern", st.total_pairs(pairs))), 100, ("pattern",))
 
 
-@query("combine_scores", "SELECT source, lang, CAST(sum(n_chars) AS DOUBLE) AS score FROM documents GROUP BY ALL")
+@query(
+    "combine_scores",
+    f"{_C2P}, {_score_sql('pmi', 'cp', 'o', 'pattern')}, {_score_sql('likelihood', 'cp', 'k', 'pattern')} SELECT id, pattern, CASE WHEN abs(sum(score)) < 5e-7 THEN 0.0::DOUBLE ELSE round(sum(score), 6) END AS score FROM (SELECT * FROM o UNION ALL SELECT * FROM k) GROUP BY id, pattern",
+)
 def combine_scores(spark, d):
-    return sc.combine_scores(_t(spark, d, "documents").select("source", "lang", F.col("n_chars").cast("double").alias("score")))
+    """Scores of two scorers for the same patterns."""
+    pairs, s = _c2p(spark, d)
+    s = walks.settle(s, "stats")
+    return _round(sc.combine_scores(sc.score(s, sc.pmi(), "pattern", st.total_pairs(pairs)).unionByName(sc.score(s, sc.likelihood(), "pattern"))))
 
 
 _CC = f"{_C2P}, {_project_sql('s2', 'cp', 'pattern')}, {_hop_sql('h2', 's2', 'pattern')}"
@@ -570,10 +576,14 @@ def vector_dot(spark, d):
     return _t(spark, d, "embeddings").select("vec_id", F.round(coll.vector_dot("embedding", "embedding"), 4).alias("dot"))
 
 
-@query("vector_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS first FROM embeddings")
+@query(
+    "vector_normalize",
+    """WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS length FROM embeddings)
+    SELECT vec_id, round(length, 4) AS length, CAST(i - 1 AS INTEGER) AS at, CASE WHEN round(embedding[i]::DOUBLE / length, 4) = 0 THEN 0.0::DOUBLE ELSE round(embedding[i]::DOUBLE / length, 4) END AS value FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM n)""",
+)
 def vector_normalize(spark, d):
     v = F.map_from_arrays(F.sequence(F.lit(0), F.size("embedding") - 1), F.transform("embedding", lambda x: x.cast("double")))
-    return _t(spark, d, "embeddings").select("vec_id", F.round(coll.map_length(v), 4).alias("length"), F.round(coll.map_normalize(v)[0], 4).alias("first"))
+    return _t(spark, d, "embeddings").select("vec_id", F.round(coll.map_length(v), 4).alias("length"), F.explode(coll.map_normalize(v)).alias("at", "value")).withColumn("value", F.round("value", 4))
 
 
 @query(
