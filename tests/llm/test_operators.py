@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -457,6 +458,30 @@ def test_edit_distance():
             assert line_dedup.within(a, b, t) == (distance(a, b) <= t)
 
 
+def test_pairs_just_beyond_the_threshold():
+    """Lines of one group that pass the filters, yet are a little too far from each other, are compared many at once."""
+    rng = random.Random(6)
+
+    def replaced(base, n, copies):
+        """Copies of base, each with n code points replaced at a place of its own: two are 2 n edits apart."""
+        return [base[: 7 * k] + chr(0x4E00 + k) * n + base[7 * k + n :] for k in range(copies)]
+
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(520)) for _ in range(8)]
+    lines = [x for b in bases[1:] for x in replaced(b, 7, 70)] + replaced(bases[0], 6, 20)
+    t = int(line_dedup.edits(520))
+    began = time.process_time()
+    got = line_dedup.forest(lines)
+    assert time.process_time() - began < 6  # 16,905 pairs that don't link
+    assert t == 12 and len(got) == 19 and all(i >= 490 and j >= 490 for i, j in got)
+    for letters in ("ab", "abé", "ab漢", "a漢😀"):
+        pairs = [(a, edited(rng, a, rng.randint(0, 5))) for a in ("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(60))]
+        code, v, offs = line_dedup.codes(pa.array([x for p in pairs for x in p]))
+        own = np.array([rng.randint(0, 6) for _ in pairs])
+        size = np.diff(offs)
+        near = line_dedup.near(code, v, offs[:-1:2], size[::2], offs[1::2], size[1::2], own)
+        assert near.tolist() == [distance(a, b) <= k for (a, b), k in zip(pairs, own.tolist(), strict=True)]
+
+
 def plain_lines(data):
     """Counts by document of ``line_dedup.report``, by comparing all lines with each other."""
     first, n_lines = {}, {}
