@@ -565,6 +565,50 @@ def test_line_dedup_grows_with_length(spark, monkeypatch, cell):
     assert all(got[k] == best[x] for k, x in data if SPACE.search(x))
 
 
+def test_line_entries(spark, monkeypatch):
+    """Entries take sixteen bytes; a frequent run at unlike places or in lines of unlike lengths makes no members; lines
+    of 2^16 code points and more, which take more bytes, meet too."""
+    monkeypatch.setattr(line_dedup, "RUNS", 8)
+    rng = random.Random(12)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(n))
+    passage = own(60)
+    lines = [own(60 + k) + passage + own(40 + 29 * k) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    blocks = line_dedup.entries(df, 3, 1000).cache()
+    size = np.array([len(x) for x in lines])
+    n = len(line_dedup.anchors(np.array([ord(c) for c in "".join(lines)], np.uint32), np.cumsum(size) - size, np.cumsum(size))[0])
+    assert blocks.agg(F.sum(F.length("block"))).first()[0] == 16 * n
+    assert line_dedup.candidates(blocks, 3).where("node is not null").isEmpty()
+    long = own(70_000)
+    data = [(1, long), (2, long[:500] + "#" + long[500:]), (3, long[::-1]), (4, own(300))]
+    got = line_dedup.groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_doc_id, r.n_times, r.kept) for r in got} == {1: (1, 1, True), 2: (1, 1, False), 3: (3, 1, True), 4: (4, 1, True)}
+
+
+def test_line_labels(spark, monkeypatch):
+    """Components of few links, by one task, are those that rounds of joins give."""
+    rng = random.Random(13)
+    some = [(rng.randint(-9, 9), k) for k in range(120)]
+    edges = [(rng.choice(some), rng.choice(some)) for _ in range(90)] + list(zip(some[:30], some[1:31], strict=True))
+    df = spark.createDataFrame([(u, v) for u, v in edges if u != v], line_dedup.LINKS)
+    of = lambda d: {(*r.node, *r.component) for r in d.collect()}
+    got = of(line_dedup.labels(df))
+    monkeypatch.setattr(line_dedup, "EDGES", 1)
+    assert got == of(line_dedup.labels(df)) and len(got) > 60
+    assert line_dedup.labels(df.limit(0)).count() == 0
+
+
+def test_alike():
+    """No pair within the threshold is left out by counts of code points, and lines with another word are."""
+    rng = random.Random(14)
+    lines = ["".join(rng.choice("abcdefgh漢é ") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    pairs = [(a, edited(rng, a, rng.randint(0, 6))) for a in lines for _ in range(5)] + [("one line with a word", "one line with zzzzzz")]
+    code, _, offs = line_dedup.codes(pa.array([x for p in pairs for x in p]))
+    x, d = 2 * np.arange(len(pairs)), np.array([distance(a, b) for a, b in pairs])
+    have = line_dedup.letters(code, offs)
+    assert line_dedup.alike(have, x, x + 1, d).all() and not line_dedup.alike(have, x[-1:], x[-1:] + 1, np.array([2]))[0]
+
+
 def test_line_groups(spark):
     """The rows name the class of each line, so planted repeats and near copies are found in the result."""
     base = "a line of several words that another document has nearly as it is"
