@@ -238,6 +238,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "tsv")).first()[0] == "a\t1"
 
 
+def test_tsv_keeps_values(spark, tmp_path):
+    values = [" lead", "trail ", "nul\x00in", "\x01ctl\x1f", "#no comment", '"q" it\'s', "back\\", ""]
+    writers.tsv(spark.createDataFrame([(v, None, 0.5) for v in values], "x string, y string, z double"), str(tmp_path / "t"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "t")).collect()) == sorted(f"{v}\t\t0.5" for v in values)
+
+
 def test_formats(spark):
     df = spark.createDataFrame([('{"a":{"b":"x"},"n":5}', "true", "0x1F", "it's", "A: 1\r\nB: 2\r\na: 3\r\n\r\nbody", "k=v%20w; z=1")], "j string, t string, h string, s string, http string, c string")
     r = df.select(
