@@ -353,3 +353,22 @@ def test_treebank_tokens(spark):
 
     row = spark.range(1).select(ptb_tokens(F.lit('He said, "They\'ll go (now)... won\'t they?" It\'s Mr. Hill\'s.')).alias("t")).first()
     assert row.t == ["He", "said", ",", "``", "They", "'ll", "go", "(", "now", ")", "...", "wo", "n't", "they", "?", "''", "It", "'s", "Mr.", "Hill", "'s", "."]
+
+
+def test_documents_in_slices(spark, monkeypatch):
+    """Objects are made of a few documents at once; counts of repeated ids are summed."""
+    docs = parsed(spark, LIVES).select("docid", F.explode(F.sequence(F.lit(1), F.lit(400))).alias("k"), "sentences")
+    docs = docs.select(F.concat("docid", (F.col("k") % 390).cast("string")).alias("docid"), F.when(F.col("k") % 7 > 0, F.col("sentences")).alias("sentences"))
+    held = []
+    monkeypatch.setattr(nlp, "SLICE", 40)
+    for batch in docs.toArrow().combine_chunks().to_batches():
+        rows = list(nlp.documents(batch, nlp.CHUNKED))
+        assert len(rows) == 400 and set(rows[1][1][0][0]) == set(nlp.CHUNKED)
+        for (_, got), want in zip(rows, batch.column(1).to_pylist(), strict=True):
+            assert [[t["token"] for t in s] for s in got] == [[t["token"] for t in s] for s in want or ()]
+        held += rows
+    assert len(held) == 400
+    plain = ex.pair_counts(nlp.extract_chunks(docs)).collect()
+    counts = ex.pair_counts(nlp.extract_chunks(docs, counts=True)).collect()
+    assert ex.repeats(docs.select("docid")) and not ex.repeats(docs.select("docid").distinct())
+    assert sorted(plain) == sorted(counts) and max(r.matches for r in counts) == 2
