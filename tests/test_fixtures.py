@@ -377,3 +377,33 @@ def test_documents_in_slices(spark, monkeypatch):
 def test_short_texts_are_spread(spark):
     docs = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("so Cust1 is in Nation7").alias("text"))
     assert nlp.annotate(nlp.spread(docs)).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_counts_within_documents(spark):
+    """Counts and best values made within a row are those of pairs that are shuffled."""
+    texts = ["a x b a y b a x b", "", "a", "q q q q", "a x b a z b", "a y b"]
+    docs = spark.createDataFrame([(str(k), t.split()) for k, t in enumerate(texts)], "docid string, tokens array<string>")
+    made = ex.counts_within(docs, ex.ngram_array(), True)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(made.collect()) == sorted(ex.pair_counts(ex.ngram_pairs(docs)).collect())
+    twice = docs.unionByName(docs)
+    assert sorted(ex.counts_within(twice, ex.ngram_array(), False).collect()) == sorted(ex.pair_counts(ex.ngram_pairs(twice)).collect())
+    best = ex.top_within(docs, F.col("tokens"), 2).where("docid = '0'").collect()
+    assert [(r.pattern, r.matches) for r in best] == [("a", 3), ("b", 3)]
+
+
+def test_walks_count_once_and_broadcast_few(spark, tmp_path, monkeypatch):
+    names = []
+    settle = walks.settle
+    monkeypatch.setattr(walks, "settle", lambda df, name: names.append(name) or settle(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([("d", "a x b a y b".split())], "docid string, tokens array<string>")
+        seeds = spark.createDataFrame([("1", "a|b", 1.0)], "id string, context string, weight double")
+        assert walks.hop(ex.ngram_pairs(docs), seeds).count() == 2 and names == ["pairs", "matches"]
+        counts = spark.createDataFrame([("a|b", "x", 2)], "context string, pattern string, matches long")
+        assert "SortMergeJoin" not in st.extract(counts, seeds)._jdf.queryExecution().executedPlan().toString()
+        (tmp_path / "f").write_text("1\tone\n2\ttwo\n")
+        assert "SortMergeJoin" not in readers.lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
